@@ -14,9 +14,29 @@ from mailmine.sources.mails import clean_rows
 from mailmine.operators.prepare import prepare
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that is stored in fewer splits than the cluster has slots.
+
+    A large table has far more splits than slots and passes through untouched.
+    """
+
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if slots > 1 and df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
+
+
+# the column a stored table is spread on
+SPREAD_ON = {
+    "orders": "o_orderkey", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+    "conversations": "conv_id",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return widen(df, SPREAD_ON[table]) if table in SPREAD_ON else df
 
 
 _KEY = "CAST(o_orderkey AS VARCHAR(20))"

@@ -369,6 +369,5 @@ READABILITY_SQL = (
 
 @query("readability", f"WITH {_TEMPLATED} SELECT row_id, round({READABILITY_SQL}, 6) AS score FROM templated")
 def readability(spark: SparkSession, sf: str) -> DataFrame:
-    return _templated(spark, sf).select(
-        "row_id", F.round(t.readability(F.col("body_template")), 6).alias("score")
-    )
+    scored = t.add_readability(_templated(spark, sf), "body_template", "score")
+    return scored.select("row_id", F.round("score", 6).alias("score"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailmine.functions import lexicon as lx
@@ -125,8 +125,7 @@ def extract_greeting(text: Column) -> Column:
 def extract_closing(text: Column) -> Column:
     """Last line with a closing word among the last six non-blank lines, else ''."""
 
-    stripped = F.transform(F.split(text, "\n"), strip)
-    filled = F.filter(stripped, lambda line: F.length(line) > 0)
+    filled = F.split(strip(text), java(r"\s*\n\s*"))
     tail = F.slice(filled, F.greatest(F.size(filled) - 5, F.lit(1)), F.lit(6))
     closing = "|".join(lx.CLOSING_LINES)
     hits = F.filter(tail, lambda line: matches(line, closing, True))
@@ -207,20 +206,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({lx.TOKEN})"), F.lit(1))
 
 
-def ngrams(text: Column, n: int = 3) -> Column:
-    """Word n-grams in text order; empty when there are fewer than ``n`` tokens."""
+def explode_ngrams(df: DataFrame, text: str, n: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per word n-gram: kept columns, ``position`` and ``phrase``.
 
-    words = tokens(text)
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    The n shifted token lists are zipped and exploded, so a text of any length is
+    read once and texts shorter than ``n`` words give no row.
+    """
 
+    words = df.select(*keep, tokens(F.col(text)).alias("__words"))
+    starts = F.greatest(F.size("__words") - (n - 1), F.lit(0))
+    shifted = [F.slice("__words", F.lit(i + 1), starts).alias(f"w{i}") for i in range(n)]
+    rows = words.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("position", "__gram"))
+    phrase = F.concat_ws(" ", *[F.col(f"__gram.w{i}") for i in range(n)])
+    return rows.select(*keep, "position", phrase.alias("phrase"))
 
-def readability(text: Column) -> Column:
+
+def add_readability(df: DataFrame, text: str, out: str) -> DataFrame:
     """Flesch reading ease; syllables are vowel groups. Null without words."""
 
-    words = F.size(tokens(text))
-    sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    syllables = F.regexp_count(F.lower(text), F.lit(r"[aeiouy]+"))
-    score = 206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words)
-    return F.when(words > 0, score)
+    counted = df.withColumns(
+        {
+            "__words": F.regexp_count(F.col(text), F.lit(lx.TOKEN)),
+            "__ends": F.greatest(F.regexp_count(F.col(text), F.lit(r"[.!?]+")), F.lit(1)),
+            "__syllables": F.regexp_count(F.lower(F.col(text)), F.lit(r"[aeiouy]+")),
+        }
+    )
+    per_sentence = F.col("__words") / F.col("__ends")
+    per_word = F.col("__syllables") / F.col("__words")
+    score = F.when(F.col("__words") > 0, 206.835 - 1.015 * per_sentence - 84.6 * per_word)
+    return counted.withColumn(out, score).drop("__words", "__ends", "__syllables")

@@ -1,51 +1,75 @@
-"""Vector arithmetic on ``array<float>`` / ``array<double>`` columns."""
+"""Vector arithmetic on ``array<float>`` / ``array<double>`` columns.
+
+Products of whole rows run on Arrow batches with NumPy; sums over rows use the
+JVM summarizer, which combines on the map side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # similarities are compared after rounding, so that the order in which a sum
 # was built can not change a rank
 SIM_DIGITS = 9
 
 
-def dimension(df: DataFrame, vector: str) -> int:
-    """Length of the vectors, read from one row."""
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column without nulls as a matrix, in double."""
+
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+@F.arrow_udf(T.DoubleType())
+def dot(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Dot product in double."""
 
-    row = df.select(F.size(vector).alias("n")).where(F.col(vector).isNotNull()).first()
-    return int(row["n"]) if row else 0
+    return pa.array((matrix(a) * matrix(b)).sum(axis=1))
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """Dot product in double, written out so that it stays in generated code."""
+@F.arrow_udf(T.DoubleType())
+def squared_norm(a: pa.Array) -> pa.Array:
+    return pa.array((matrix(a) ** 2).sum(axis=1))
 
-    total = None
-    for i in range(dim):
-        term = F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
-        total = term if total is None else total + term
-    return total if total is not None else F.lit(0.0)
 
+@F.arrow_udf(T.DoubleType())
+def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Euclidean distance."""
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
+    return pa.array(np.sqrt(((matrix(a) - matrix(b)) ** 2).sum(axis=1)))
+
+
+def cosine(a: Column, b: Column) -> Column:
     """Cosine of two unit vectors, clipped to [-1, 1]."""
 
-    return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b, dim))), SIM_DIGITS)
+    return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))), SIM_DIGITS)
 
 
-def l2_normalize(vector: Column, dim: int) -> Column:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def l2_normalize(a: pa.Array) -> pa.Array:
     """Unit length; a zero vector stays as it is."""
 
-    norm = F.sqrt(dot(vector, vector, dim))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.array(*[F.get(vector, F.lit(i)).cast("double") / safe for i in range(dim)])
+    rows = matrix(a)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    norms[norms == 0] = 1.0
+    width = rows.shape[1]
+    offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * width)
+    return pa.ListArray.from_arrays(offsets, pa.array((rows / norms).ravel()))
+
 
+def scaled(a: Column, factor: Column) -> Column:
+    """Each element times a factor; for tables of one row per cluster."""
 
-def sum_vector(vector: str, dim: int) -> Column:
-    """Element-wise sum: plain sums, so partial aggregation happens before the shuffle."""
+    return F.transform(a, lambda x: x.cast("double") * factor)
 
-    return F.array(*[F.sum(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(dim)])
 
+def sum_vector(vector: Column) -> Column:
+    """Element-wise sum of a group as ``array<double>``."""
 
-def squared_norm(vector: Column, dim: int) -> Column:
-    return dot(vector, vector, dim)
+    return vector_to_array(Summarizer.sum(array_to_vector(vector)))
