@@ -147,7 +147,7 @@ _CENTERS = (
 
 @query(
     "cosine_pairs",
-    f"WITH {_CENTERS} SELECT row_id, c.cluster_id, round(sum(x * c), 6) AS similarity FROM long l JOIN centers c USING (position) "
+    f"WITH {_CENTERS} SELECT row_id, c.cluster_id, round(round(sum(x * c), 9), 6) AS similarity FROM long l JOIN centers c USING (position) "
     "GROUP BY row_id, c.cluster_id",
 )
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -109,10 +109,10 @@ def clean_body(text: Column) -> Column:
 def combine(subject: Column, body: Column) -> Column:
     """Subject, blank line, body; or whichever of the two is set."""
 
+    # trimming the joined text drops the blank line when one side is empty
     subject = strip(F.coalesce(subject, F.lit("")))
     body = strip(F.coalesce(body, F.lit("")))
-    both = (F.length(subject) > 0) & (F.length(body) > 0)
-    return F.when(both, F.concat(subject, F.lit("\n\n"), body)).otherwise(F.concat(subject, body))
+    return strip(F.concat(subject, F.lit("\n\n"), body))
 
 
 def extract_greeting(text: Column) -> Column:

@@ -26,7 +26,7 @@ from mailmine.operators.similarity import (
     similarities,
     stack,
 )
-from mailmine.session import cut_lineage
+from mailmine.session import cut_lineage, scratch_path
 
 METHODS = ("kmeans", "agglomerative", "dbscan")
 
@@ -89,7 +89,10 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
     rows = vectors.select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"))
     distinct = collapse_equal(rows, "id", "vec")
     copies = rows.join(distinct.select("vec", F.col("id").alias("keep")), "vec").where("id <> keep")
-    merges = [cut_lineage(copies.select(F.col("keep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("height")))]
+    spark, tree_path = vectors.sparkSession, scratch_path(vectors.sparkSession, "merges")
+    merged = copies.select(F.col("keep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("height"))
+    merged.write.parquet(tree_path)
+    tree_schema = spark.read.parquet(tree_path).schema
     n = rows.count()
     total = scaled(F.col("vec"), F.col("weight"))
     state = cut_lineage(distinct.select("id", F.col("weight").alias("size"), total.alias("total")))
@@ -102,18 +105,18 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
         height = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("similarity")).alias("height")
         pairs = nearest.join(back, ["id", "other"]).where("id < other")
         pairs = cut_lineage(pairs.select(F.col("id").alias("a"), F.col("other").alias("b"), height))
-        found = pairs.count()
+        found, lowest = pairs.agg(F.count("*"), F.min("height")).first()
         if not found:  # rounding made the relation one-sided: take the best pair alone
             best = nearest.orderBy(F.col("similarity").desc(), "id").limit(1)
             low, high = F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
             pairs = cut_lineage(best.select(low, high, height))
-            found = 1
-        # merges below the nearest pair of this round can not be undercut any more
-        lowest = pairs.agg(F.min("height")).first()[0]
-        settled = sum(m.where(F.col("height") <= lowest).count() for m in merges)
-        if settled >= n - k:
-            break
-        merges.append(pairs)
+            found, lowest = pairs.agg(F.count("*"), F.min("height")).first()
+        if done >= n - k:
+            # merges below the nearest pair of this round can not be undercut any more
+            recorded = spark.read.schema(tree_schema).parquet(tree_path)
+            if recorded.where(F.col("height") <= lowest).count() >= n - k:
+                break
+        pairs.write.mode("append").parquet(tree_path)
         target = pairs.select(F.col("b").alias("id"), "a")
         moved = state.join(target, "id", "left").withColumn("id", F.coalesce("a", "id")).drop("a")
         sums = sum_vector(F.col("total")).alias("total")
@@ -121,9 +124,7 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
         groups -= found
         done += found
 
-    tree = merges[0]
-    for part in merges[1:]:
-        tree = tree.unionByName(part)
+    tree = spark.read.schema(tree_schema).parquet(tree_path)
     extra = done - (n - k)  # at most k - 1 merges lie above the cut
     if extra > 0:
         above = tree.orderBy(F.col("height").desc(), F.col("b").desc()).limit(extra).select("a", "b")

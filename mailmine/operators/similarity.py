@@ -216,6 +216,8 @@ def place_in_cells(vectors: DataFrame, similarity: float, id_col: str = "id", ve
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()),
                            T.StructField("home", T.BooleanType())])
 
+    names = vectors.columns
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -225,9 +227,9 @@ def place_in_cells(vectors: DataFrame, similarity: float, id_col: str = "id", ve
             home = near.argmin(axis=1)
             beyond = (near - near[np.arange(len(home)), home][:, None]) / 2.0
             rows_, cells = np.nonzero(beyond <= reach * apart[home] + 1e-9)
-            columns = [batch.column(n).take(pa.array(rows_)) for n in vectors.columns]
+            columns = [batch.column(n).take(pa.array(rows_)) for n in names]
             columns += [pa.array(cells.astype(np.int32)), pa.array(cells == home[rows_])]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "cell", "home"])
 
     return vectors.mapInArrow(place, schema)
 
