@@ -252,6 +252,8 @@ def near_blocks(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFram
         )
     )
     sizes = F.broadcast(sizes)  # one row per cell, at most MAX_PIVOTS
+    # both sides often come from one table: give each its own columns
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
     slot = F.xxhash64(id_col)
     cut_left = (
         left.join(sizes, "cell")
