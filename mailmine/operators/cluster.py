@@ -55,15 +55,29 @@ def _numbered(grouped: DataFrame) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = lx.RANDOM_STATE) -> DataFrame:
-    """Euclidean k-means on unit vectors."""
+    """Euclidean k-means on unit vectors.
 
-    points = vectors.select("row_id", array_to_vector("embedding").alias("features")).persist()
+    Fitted on the distinct vectors with their counts as weights: the same objective
+    over fewer points, and copies can not crowd out the starting centres. With no
+    more than ``k`` distinct vectors each of them is a cluster.
+    """
+
+    rows = vectors.select("row_id", "embedding")
+    distinct = collapse_equal(rows, "row_id", "embedding")
+    n_distinct = distinct.count()
+    if n_distinct <= k:
+        named = distinct.select(F.col("vec").alias("embedding"), F.col("id").alias("group"))
+        return _numbered(cut_lineage(rows.join(named, "embedding").select("row_id", "group")))
+
+    points = distinct.select("weight", array_to_vector("vec").alias("features")).persist()
     try:
-        model = KMeans(k=k, seed=seed, maxIter=50, distanceMeasure="euclidean").fit(points)
-        grouped = cut_lineage(model.transform(points).select("row_id", F.col("prediction").alias("group")))
+        # sampled starting centres need far more points than centres
+        start = "k-means||" if n_distinct >= 20 * k else "random"
+        model = KMeans(k=k, seed=seed, maxIter=50, initMode=start, weightCol="weight").fit(points)
     finally:
         points.unpersist()
-    return _numbered(grouped)
+    labelled = model.transform(rows.select("row_id", array_to_vector("embedding").alias("features")))
+    return _numbered(cut_lineage(labelled.select("row_id", F.col("prediction").alias("group"))))
 
 
 # --- average linkage --------------------------------------------------------------------
