@@ -81,7 +81,8 @@ def shown(templates: DataFrame) -> DataFrame:
 def _spread(df: DataFrame, key: str, vector: str) -> DataFrame:
     """A vector column as rows of position and rounded value, zeros left out."""
 
-    long = df.select(key, F.posexplode(vector).alias("position", "value")).where("value <> 0")
+    # outer: without it the vector is computed once more to test that it is not empty
+    long = df.select(key, F.posexplode_outer(vector).alias("position", "value")).where("value <> 0")
     return long.select(key, "position", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 

@@ -185,11 +185,11 @@ def formality(spark: SparkSession, sf: str) -> DataFrame:
     f"{d.slots('combined_text')} AS placeholders, {d.actions('low')} AS action_words FROM prepared",
 )
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    out = _texts(spark, sf).select("row_id", t.features(F.col("combined_text")).alias("f"))
+    out = prepared_mails(spark, sf)
     return out.select(
-        "row_id", "f.greeting", "f.closing", "f.intent", "f.formality",
-        F.array_join("f.placeholders", ",").alias("placeholders"),
-        F.array_join("f.action_words", ",").alias("action_words"),
+        "row_id", "features.greeting", "features.closing", "features.intent", "features.formality",
+        F.array_join("features.placeholders", ",").alias("placeholders"),
+        F.array_join("features.action_words", ",").alias("action_words"),
     )
 
 

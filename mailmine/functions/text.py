@@ -149,10 +149,10 @@ def canonical_closing(text: Column) -> Column:
     return _replace_first(text, extract_closing(text), lx.CLOSING_TEXT)
 
 
-def action_words(text: Column) -> Column:
+def action_words(text: Column, lowered: Column | None = None) -> Column:
     """Sorted action words contained in the text (substring test)."""
 
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     return F.array_compact(
         F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in sorted(lx.ACTION_WORDS)])
     )
@@ -170,16 +170,16 @@ def placeholder_slots(text: Column) -> Column:
     return F.array_compact(F.array(*slots))
 
 
-def intent(text: Column) -> Column:
-    lowered = F.lower(text)
+def intent(text: Column, lowered: Column | None = None) -> Column:
+    lowered = F.lower(text) if lowered is None else lowered
     label = F.when(contains_any(lowered, lx.INTENT_RULES[0][1]), lx.INTENT_RULES[0][0])
     for name, words in lx.INTENT_RULES[1:]:
         label = label.when(contains_any(lowered, words), name)
     return label.otherwise(lx.DEFAULT_INTENT)
 
 
-def formality(text: Column) -> Column:
-    lowered = F.lower(text)
+def formality(text: Column, lowered: Column | None = None) -> Column:
+    lowered = F.lower(text) if lowered is None else lowered
     return (
         F.when(contains_any(lowered, lx.FORMAL_STYLE), "formal")
         .when(contains_any(lowered, lx.CASUAL_STYLE), "casual")
@@ -187,19 +187,6 @@ def formality(text: Column) -> Column:
     )
 
 
-def features(text: Column) -> Column:
-    """All features of a message as one struct."""
-
-    return F.struct(
-        extract_greeting(text).alias("greeting"),
-        extract_closing(text).alias("closing"),
-        intent(text).alias("intent"),
-        formality(text).alias("formality"),
-        placeholder_slots(text).alias("placeholders"),
-        action_words(text).alias("action_words"),
-    )
-
-
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens."""
 
@@ -216,7 +203,10 @@ def explode_ngrams(df: DataFrame, text: str, n: int = 3, keep: tuple[str, ...] =
     words = df.select(*keep, tokens(F.col(text)).alias("__words"))
     starts = F.greatest(F.size("__words") - (n - 1), F.lit(0))
     shifted = [F.slice("__words", F.lit(i + 1), starts).alias(f"w{i}") for i in range(n)]
-    rows = words.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("position", "__gram"))
+    # the outer form keeps the optimizer from testing the list for emptiness first,
+    # which would tokenize every text once more
+    rows = words.select(*keep, F.posexplode_outer(F.arrays_zip(*shifted)).alias("position", "__gram"))
+    rows = rows.where(F.col("position").isNotNull())
     phrase = F.concat_ws(" ", *[F.col(f"__gram.w{i}") for i in range(n)])
     return rows.select(*keep, "position", phrase.alias("phrase"))
 
