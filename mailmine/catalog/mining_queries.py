@@ -19,6 +19,7 @@ from mailmine.operators import match as mt
 from mailmine.operators import metrics as me
 from mailmine.operators import pairs as pr
 from mailmine.operators import templates as tp
+from mailmine.operators.components import number_in_order
 from mailmine.operators.dedup import greedy_keep
 from mailmine.operators.prepare import add_texts
 from mailmine.operators.similarity import rank_targets
@@ -415,10 +416,12 @@ def templates_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("templates_ranked", f"WITH {m.BUILT_CTE} SELECT row_number() OVER (ORDER BY cluster_size DESC, cluster_id) AS place, cluster_id, cluster_size FROM built")
 def templates_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    order = tp.ranked(built_templates(spark, sf)).select("cluster_id", "cluster_size")
-    rows = order.agg(F.collect_list(F.struct((-F.col("cluster_size")).alias("key"), "cluster_id", "cluster_size")).alias("all"))
-    return rows.select(F.posexplode(F.array_sort("all")).alias("p", "r")).select(
-        (F.col("p") + 1).cast("bigint").alias("place"), "r.cluster_id", "r.cluster_size"
+    key = F.struct((-F.col("cluster_size")).alias("a"), F.col("cluster_id").alias("b")).alias("key")
+    places = number_in_order(built_templates(spark, sf).select(key), "key", "at")
+    return places.select(
+        (F.col("at") + 1).cast("bigint").alias("place"),
+        F.col("key.b").alias("cluster_id"),
+        (-F.col("key.a")).alias("cluster_size"),
     )
 
 

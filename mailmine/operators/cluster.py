@@ -50,7 +50,7 @@ def _numbered(grouped: DataFrame) -> DataFrame:
     first = grouped.groupBy("group").agg(F.min("row_id").alias("first_row"))
     first = cut_lineage(first)
     numbers = number_in_order(first, "first_row", "cluster_id")
-    named = first.join(numbers, "first_row").select("group", "cluster_id")
+    named = cut_lineage(first.join(numbers, "first_row").select("group", "cluster_id"))
     return grouped.join(named, "group").select("row_id", "cluster_id")
 
 

@@ -70,4 +70,5 @@ def number_in_order(values: DataFrame, column: str, out: str) -> DataFrame:
     starts = spark.createDataFrame(offsets, "__part int, __start long")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(column))
     numbered = ranged.join(F.broadcast(starts), "__part")
-    return numbered.select(column, (F.col("__start") + within - 1).cast("int").alias(out))
+    # written, so that the planner knows its size when rows are joined to it
+    return cut_lineage(numbered.select(column, (F.col("__start") + within - 1).cast("int").alias(out)))

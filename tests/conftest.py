@@ -29,8 +29,8 @@ MAIL = "row_id long, email_id string, subject string, body string, category stri
 def two_topics(spark):
     """Twenty meeting mails and twenty complaints, equal inside a group."""
 
-    rows = [(i, f"M{i}", "Meeting request next week", "Hi Alex,\n\nCould we set up a call about the roadmap?\n\nThanks,\nJamie",
+    rows = [(i, f"M{i}", "A date for the roadmap", "Hello Noor,\n\nIs Tuesday fine for our roadmap meeting?\n\nCheers,\nToni",
              "meeting_request", "formal", "neutral") for i in range(20)]
-    rows += [(20 + i, f"C{i}", "Issue with billing", "Dear Support,\n\nI'm frustrated with the billing discrepancy. Please resolve."
-              "\n\nRegards,\nPat", "complaint", "formal", "negative") for i in range(20)]
+    rows += [(20 + i, f"C{i}", "Issue with my order", "Dear Helpdesk,\n\nThe parcel arrived broken, which is unacceptable and a terrible mistake."
+              "\n\nSincerely,\nKim", "complaint", "formal", "negative") for i in range(20)]
     return spark.createDataFrame(rows, MAIL)

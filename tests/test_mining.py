@@ -34,8 +34,8 @@ def test_run_end_to_end(spark, two_topics, tmp_path):
 
 
 def test_equal_mails_give_one_template(spark):
-    body = "Hi Sam,\n\nCould you please review the doc?\n\nThanks,\nJordan"
-    rows = [(i, f"X{i}", "Quick question", body, "request", "neutral", "neutral") for i in range(30)]
+    body = "Hello Kai,\n\nWhen can you look at my draft?\n\nThanks,\nRobin"
+    rows = [(i, f"X{i}", "My draft", body, "request", "neutral", "neutral") for i in range(30)]
     run = mine(spark.createDataFrame(rows, MAIL), MiningParams(n_clusters=3, duplicate_similarity=0.5))
     assert run.templates.count() == 1
 

@@ -155,10 +155,10 @@ def test_combine(spark):
 
 
 def test_template_text(spark):
-    text = "Hi Alex,\n\nPlease pay $1,200 by Friday or by next Monday. See https://x.com/track\n\nRegards,\nJamie"
+    text = "Hello Noor,\n\nThe fee of $75.20 is due by Sunday or by next Monday: https://fees.example.org/7\n\nRegards,\nToni"
     df = spark.createDataFrame([(text,)], "b string")
     out = ph.add_body_template(df, "b", "o").first()["o"]
-    assert out == ("Hi {recipient_name},\n\nPlease pay {amount} by {date} or by next {date}. See {link}\n\nRegards,\n{sender_name}")
+    assert out == ("Hi {recipient_name},\n\nThe fee of {amount} is due by {date} or by next {date}: {link}\n\nRegards,\n{sender_name}")
 
 
 def test_empty_subject(spark):
