@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from mailmine.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +20,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name``, with the DuckDB SQL for the same result if there is one."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

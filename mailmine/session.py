@@ -7,8 +7,10 @@ setting gets a folder of its own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,30 @@ SESSION_CONF = {
 }
 
 
+_shipped_to: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    The archive is made on the driver; Spark hands it to every executor.
+    """
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped_to:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="mailmine-code-"), "mailmine.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("mailmine", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    _shipped_to.add(context.applicationId)
+
+
 def local_session(app: str = "mailmine", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
 
@@ -39,6 +65,7 @@ def local_session(app: str = "mailmine", cores: str | int = "*", **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
