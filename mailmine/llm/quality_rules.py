@@ -35,11 +35,11 @@ class RuleParams:
 
 
 SEPARATORS = "|»›·>/•"
-TERMINAL = re.compile(r"[.!?…:;,\"'”’)\]»]\s*\Z")
+TERMINAL = re.compile(r"[.!?…:;,\"'”’)\]»][\x20\x09-\x0D]*+\Z")
 SHOUTING = re.compile(r"[!?]{2,}")
 BOILERPLATE = re.compile(
     r"cookie|javascript|all rights reserved|terms of (?:use|service)|privacy policy|sign in|log in|subscribe"
-    r"|click here|read more|share this|lorem ipsum|home page", re.IGNORECASE)
+    r"|click here|read more|share this|lorem ipsum|home page", re.IGNORECASE | re.ASCII)
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 SCHEMA = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -50,7 +50,7 @@ SCHEMA = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n
 def line_verdict(line: str, p: RuleParams) -> str:
     """'' for a line that stays, else the rule that removes it; lines without a word stay."""
 
-    words = line.split()
+    words = _WORDS.findall(line)
     if not words:
         return ""
     separators = sum(w in SEPARATORS for w in words)
