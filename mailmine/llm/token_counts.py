@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,28 +103,46 @@ def _chunks(path: str):
     return run
 
 
-def _pack(chunk: int, rows: list[tuple], index: dict[str, int]) -> pa.RecordBatch:
-    known, often = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
-    if len(known) == 0 or often.max() < 256:
-        often = often.astype(np.uint8)
-    if len(index) < 1 << 16:
-        known = known.astype(np.uint16)
-    words = pa.array([list(index)], pa.list_(pa.string()))
-    doc_ids = pa.array([[r[0] for r in rows]], pa.list_(pa.int64()))
-    sizes = pa.array([[r[1] for r in rows]], pa.list_(pa.int64()))
-    lengths = pa.array([[len(r[2]) for r in rows]], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([
-        pa.array([chunk], pa.int64()), doc_ids, sizes, lengths, words,
-        pa.array([known.tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary()),
-    ], names=["chunk", "doc_ids", "sizes", "lengths", "words", "known", "often"])
+def squeezed(values: np.ndarray) -> bytes:
+    """Small numbers, packed: the bytes of equal weight lie side by side and are compressed."""
+
+    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes())
+
+
+def unsqueezed(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64)
 
 
-CHUNK_SCHEMA = ("chunk bigint, doc_ids array<bigint>, sizes array<bigint>, lengths array<bigint>, words array<string>, "
-                "known binary, often binary")
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _shard_of(words: list[str], n: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) % n for w in words), np.int64, len(words))
+def _pack(chunk: int, rows: list[tuple], index: dict[str, int]) -> pa.RecordBatch:
+    """The words in the order of their hashes, so that the words of a shard lie together."""
+
+    words = np.array(list(index), object)
+    order = np.argsort(_hashes(words), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    steps, often = [], []
+    for _, _, known, times in rows:
+        place = rank[known]
+        by_place = np.argsort(place)
+        steps.append(np.diff(place[by_place], prepend=0))
+        often.append(times[by_place])
+    listed = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([
+        pa.array([chunk], pa.int64()), pa.array([[r[0] for r in rows]], listed), pa.array([[r[1] for r in rows]], listed),
+        pa.array([[len(r[2]) for r in rows]], listed), pa.array([len(words)], pa.int64()),
+        pa.array([list(words[order])], pa.list_(pa.string())),
+        pa.array([squeezed(np.concatenate(steps))], pa.binary()), pa.array([squeezed(np.concatenate(often))], pa.binary()),
+    ], names=["chunk", "doc_ids", "sizes", "lengths", "n_words", "words", "steps", "often"])
+
+
+FREQUENCIES = "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, lengths array<bigint>, n_words bigint"
+CHUNK_SCHEMA = f"{FREQUENCIES}, words array<string>, steps binary, often binary"
 
 
 def _ask(n: int):
@@ -132,60 +151,46 @@ def _ask(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
-                words = np.array(words.as_py(), object)
-                shard = _shard_of(words, n)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(n + 1))
-                filled = [k for k in range(n) if cuts[k] < cuts[k + 1]]
+                words = words.as_py()
+                shard = ((_hashes(words) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                cuts = np.searchsorted(shard, np.arange(n + 1))
+                filled = np.flatnonzero(np.diff(cuts)).tolist()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(filled, pa.int32()), pa.array([chunk] * len(filled), pa.int64()),
-                    pa.array([list(words[order[cuts[k]:cuts[k + 1]]]) for k in filled], pa.list_(pa.string())),
+                    pa.array([words[cuts[k]:cuts[k + 1]] for k in filled], pa.list_(pa.string())),
                 ], names=["shard", "chunk", "words"])
     return run
 
 
 def _answer(path: str):
+    """Each distinct pre-token of a shard is counted once."""
+
     def run(asked: pa.Table) -> pa.Table:
         lists = asked.column("words").combine_chunks()
         flat = lists.flatten().dictionary_encode()
         counts = count_pieces(flat.dictionary.to_pylist(), path)[np.asarray(flat.indices)] if len(flat) else np.empty(0, np.int64)
         cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "counts": pa.array(
-            [counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+            [squeezed(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
     return run
 
 
-def _sum(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                known = np.frombuffer(row["known"], np.uint16 if row["n_words"] < 1 << 16 else np.uint32)
-                lengths = np.array(row["lengths"], np.int64)
-                often = np.frombuffer(row["often"], np.uint8 if len(row["often"]) == len(known) else np.uint32)
-                # the answers of a shard are in the order of the chunk's list
-                each = np.zeros(row["n_words"], np.int64)
-                place = np.frombuffer(row["shards"], np.uint32)
-                for answer in row["answers"] or []:
-                    each[place == answer["shard"]] = np.frombuffer(answer["counts"], np.uint32)
-                sums = np.concatenate([[0], np.cumsum(each[known] * often)])
-                cuts = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()),
-                    pa.array(sums[cuts[1:]] - sums[cuts[:-1]], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-    return run
-
-
-def _places(n: int):
-    """The shard of every pre-token of a chunk, which stands for the words themselves in the join."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [_shard_of(w.as_py(), n).astype(np.uint32) for w in batch.column("words")]
-            columns = {name: batch.column(name) for name in ("chunk", "doc_ids", "sizes", "lengths", "known", "often")}
-            columns |= {"n_words": pa.array([len(x) for x in places], pa.int64()),
-                        "shards": pa.array([x.tobytes() for x in places], pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-    return run
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            # answers in the order of the shards are counts in the order of the words
+            answers = sorted(row["answers"] or [], key=lambda a: a["shard"])
+            counts = np.concatenate([np.empty(0, np.int64), *(unsqueezed(a["counts"]) for a in answers)])
+            cuts = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int64)
+            steps, often = unsqueezed(row["steps"]), unsqueezed(row["often"])
+            # places are summed steps, anew for each document
+            run = np.cumsum(steps)
+            before = np.concatenate([[0], run])[cuts[:-1]]
+            known = run - np.repeat(before, np.diff(cuts))
+            sums = np.concatenate([[0], np.cumsum(counts[known] * often)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()),
+                pa.array(sums[cuts[1:]] - sums[cuts[:-1]], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -198,7 +203,5 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     n = shards(asked, WORDS_PER_SHARD)
     asks = chunks.select("chunk", "words").mapInArrow(_ask(n), "shard int, chunk bigint, words array<string>")
     answers, _ = keep(asks.groupBy("shard").applyInArrow(_answer(path), "chunk bigint, shard int, counts binary"), "counts")
-    places = chunks.mapInArrow(_places(n), "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, lengths array<bigint>, "
-                               "known binary, often binary, n_words bigint, shards binary")
     answered = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    return places.join(answered, "chunk", "left").mapInArrow(_sum(n), "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return chunks.drop("words").join(answered, "chunk", "left").mapInArrow(_sum, "doc_id bigint, n_bytes bigint, n_tokens bigint")
