@@ -103,6 +103,17 @@ class Deal:
         return out
 
 
+    def pairs(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``bits``, for answers of two bits a key."""
+
+        one, two = np.zeros(self.size, bool), np.zeros(self.size, bool)
+        for a in answers:
+            at = self.places(a["shard"])
+            bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=2 * len(at)).astype(bool)
+            one[at], two[at] = bits[::2], bits[1::2]
+        return one, two
+
+
 def ask_repeated(keys: np.ndarray, twice: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
     """Payloads by shard: distinct keys, and whether the chunk alone has a key twice."""
 
@@ -112,14 +123,21 @@ def ask_repeated(keys: np.ndarray, twice: np.ndarray, n: int) -> Iterator[tuple[
         yield shard, keys[at].tobytes() + np.packbits(twice[at]).tobytes()
 
 
-def answer_repeated(table: pa.Table) -> pa.Table:
-    """For each key asked whether it occurs more than once over all chunks."""
+def repeated_asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Keys, flags and keys per payload of what ``ask_repeated`` has sent to a shard."""
 
     payloads = [x.as_py() for x in table.column("payload")]
     # 8 bytes and a bit a key: n keys take 8 n + ceil(n / 8) bytes
     sizes = [len(p) * 8 // 65 for p in payloads]
     keys = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes, strict=True)])
     twice = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=8 * n), count=n) for p, n in zip(payloads, sizes, strict=True)])
+    return keys, twice, sizes
+
+
+def answer_repeated(table: pa.Table) -> pa.Table:
+    """For each key asked whether it occurs more than once over all chunks."""
+
+    keys, twice, sizes = repeated_asked(table)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     repeated = (counts > 1) | (np.bincount(inverse, twice) > 0)
     return answers(table, repeated[inverse], sizes)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailmine.llm import bytesops as B
-from mailmine.llm.tables import documents, keep, prepare
+from mailmine.llm.tables import carried, carrying, documents, keep, prepare
 
 
 @dataclass(frozen=True)
@@ -169,6 +169,7 @@ def _mark(shared, window: int):
         tests = test_block(shared.value, window)
         for batch in batches:
             data, offsets = B.texts(batch.column("text"))
+            rest = [c for c in batch.schema.names if c == "carry"]
             for low, high in B.slices(offsets):
                 part, body = offsets[low:high + 1] - offsets[low], data[offsets[low]:offsets[high]]
                 hashes, rows = lowered_words(body, part)
@@ -179,7 +180,8 @@ def _mark(shared, window: int):
                     pa.array(np.diff(rows), pa.int64()), pa.array(bits, pa.binary()),
                     pa.array([[tests.names[i] for i in f] for f in found], pa.list_(pa.string())),
                     pa.array([max(f.values(), default=0) for f in found], pa.int64()),
-                ], names=["row", "doc_id", "n_words", "hits", "items", "longest"])
+                    *(batch.column(c).slice(low, high - low) for c in rest),
+                ], names=["row", "doc_id", "n_words", "hits", "items", "longest", *rest])
     return run
 
 
@@ -192,7 +194,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        rest = [c for c in batch.schema.names if c == "carry"]
+        for row in batch.select(["doc_id", "n_words", "marks"]).to_pylist():
             marks = row["marks"]
             bits = np.zeros(max(len(m["hits"]) for m in marks), np.uint8)
             for m in marks:
@@ -203,12 +206,15 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         n_hit > 0, max(m["longest"] for m in marks), items))
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                         names=[x.split()[0] for x in RESULT.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(batch.column(c) for c in rest)],
+                                         names=[*(x.split()[0] for x in RESULT.split(", ")), *rest])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: words, words inside test windows, the items found and the longest match."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20,
+                       carry: bool = False) -> DataFrame:
+    """One row per document: words, words inside test windows, the items found and the longest match.
+
+    With ``carry`` the input row comes along as a struct of that name."""
 
     spark = docs.sparkSession
     prepare(spark)
@@ -216,20 +222,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     tests = tests.where(F.col("item").isNotNull() & F.col("words").isNotNull())
     size = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    rows = documents(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = (carrying(docs) if carry else documents(docs)).withColumn("row", F.monotonically_increasing_id())
     if n_blocks > 1:
         rows, _ = keep(rows, "rows")      # the row numbers must be the same for every block
     marks = []
     for block in range(n_blocks):
         part = tests.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == block).orderBy("item", "words")
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
-        marks.append(rows.mapInArrow(_mark(shared, window), MARKS))
+        given = rows if n_blocks == 1 else rows.select("row", "doc_id", "text")
+        marks.append(given.mapInArrow(_mark(shared, window), carried(given, MARKS)))
     mark = F.struct("hits", "items", "longest")
+    along = ["carry"] if carry else []
     if n_blocks == 1:
-        return marks[0].select("doc_id", "n_words", F.array(mark).alias("marks")).mapInArrow(_finish, RESULT)
+        ready = marks[0].select("doc_id", "n_words", F.array(mark).alias("marks"), *along)
+        return ready.mapInArrow(_finish, carried(ready, RESULT))
     united = marks[0]
     for more in marks[1:]:
         united = united.union(more)
     united = united.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                                        F.collect_list(mark).alias("marks"))
-    return united.drop("row").mapInArrow(_finish, RESULT)
+    ready = united.join(rows.select("row", "carry"), "row") if carry else united
+    ready = ready.select("doc_id", "n_words", "marks", *along)
+    return ready.mapInArrow(_finish, carried(ready, RESULT))

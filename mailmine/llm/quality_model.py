@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailmine.llm import bytesops as B
-from mailmine.llm.tables import documents, prepare
+from mailmine.llm.tables import carried, carrying, documents, prepare
 
 
 @dataclass(frozen=True)
@@ -129,8 +129,10 @@ def _score(p: ModelParams, model):
                         total += sums[end] - sums[start]
                         count += end - start
                 score = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + values[-1], -500, 500)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pa.array(score)],
-                                                 names=[*batch.schema.names, "score"])
+                rest = [c for c in batch.schema.names if c == "carry"]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(low, high - low), pa.array(score),
+                    *(batch.column(c).slice(low, high - low) for c in rest)], names=["doc_id", "score", *rest])
     return run
 
 
@@ -152,10 +154,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, params: Model
     return bytes(found["model"]) if found else np.zeros(1).tobytes()
 
 
-def score_quality(docs: DataFrame, model: bytes, params: ModelParams = ModelParams()) -> DataFrame:
-    """(doc_id, text, score): every document with the score of its whole text; one narrow pass."""
+def score_quality(docs: DataFrame, model: bytes, params: ModelParams = ModelParams(), carry: bool = False) -> DataFrame:
+    """(doc_id, score): every document with the score of its whole text; one narrow pass.
+
+    With ``carry`` the input row comes along as a struct of that name."""
 
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    return documents(docs).mapInArrow(_score(params, shared), "doc_id bigint, text string, score double")
+    rows = carrying(docs) if carry else documents(docs)
+    return rows.mapInArrow(_score(params, shared), carried(rows, "doc_id bigint, score double"))

@@ -16,6 +16,7 @@ from mailmine.llm.quality_model import fit_quality, score_quality
 from mailmine.llm.quality_rules import clean_by_rules
 from mailmine.llm.secrets import scan_secrets
 from mailmine.llm.substring_dedup import dedup_substrings
+from mailmine.llm.suffix_dedup import dedup_suffixes
 from mailmine.llm.token_counts import count_tokens
 from mailmine.llm.url_filters import filter_urls, host_of, lookup_keys
 
@@ -69,6 +70,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op6_suffix_dedup", sql.SUFFIXES)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op7_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mailmine.llm.tables import documents, prepare
+from mailmine.llm.tables import carried, carrying, documents, prepare
 
 # fixed patterns of the base kinds, with the least length of what must be long enough
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
@@ -168,12 +168,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          redact(text, spans) if spans else None))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64()] * 3 + [pa.string()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=NAMES)
+        rest = [c for c in batch.schema.names if c == "carry"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)),
+                                          *(batch.column(c) for c in rest)], names=[*NAMES, *rest])
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row per document: counts of the base kinds, their digest, all spans, and the redacted
-    text where there is a span (``redacted``, else null). One narrow pass."""
+    text where there is a span (``redacted``, else null). One narrow pass. With ``carry`` the input row
+    comes along as a struct of that name."""
 
     prepare(docs.sparkSession)
-    return documents(docs).mapInArrow(_scan, SCHEMA)
+    rows = carrying(docs) if carry else documents(docs)
+    return rows.mapInArrow(_scan, carried(rows, SCHEMA))

@@ -59,8 +59,18 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if not ddl.startswith("struct") else ddl
+def carrying(docs: DataFrame) -> DataFrame:
+    """doc_id and text as ``documents`` has them, and the whole row as the struct ``carry``."""
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct("*").alias("carry"))
+
+
+def carried(rows: DataFrame, ddl: str) -> T.StructType:
+    """The fields of ``ddl`` and, if the rows have one, their ``carry`` column."""
+
+    fields = T.StructType.fromDDL(ddl).fields
+    return T.StructType([*fields, *(f for f in rows.schema.fields if f.name == "carry")])
 
 
 def shards(n_values: int, per_shard: int) -> int:
