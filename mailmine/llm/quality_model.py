@@ -57,7 +57,8 @@ def features(data: np.ndarray, offsets: np.ndarray, p: ModelParams) -> Iterator[
         for k in range(n):
             gram = (gram << np.uint64(8)) | wide[k:len(data) - n + 1 + k]
         bucket = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> top).astype(np.int64)
-        yield bucket, offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
+        first = np.minimum(offsets[:-1], len(bucket))
+        yield bucket, first, np.maximum(offsets[1:] - n + 1, first)
 
 
 def _packed(p: ModelParams):
