@@ -29,7 +29,7 @@ DESK = "coalesce(category, '__missing__') || '/' || sender || '/' || formality"
 MEMBERS_CTE = (
     d.PREPARED_CTE
     + f""", desks AS (SELECT * EXCLUDE (sentiment), found_sentiment AS sentiment, {DESK} AS desk FROM prepared
-), members AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY desk) - 1 AS INTEGER) AS cluster_id FROM desks
+), members AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY desk) - 1 AS BIGINT) AS cluster_id FROM desks
 ), """
     + bag_cte("bag", "members", "row_id", "combined_text")
     + """, sizes AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1
@@ -101,8 +101,7 @@ DEDUPED_CTE = (
     + bag_cte("tbag", "built", "cluster_id", "body_template")
     + ", "
     + greedy_cte("tbag", "cluster_id", "cluster_size DESC, cluster_id", "built", lx.DUPLICATE_SIMILARITY)
-    + f""", mined AS MATERIALIZED (SELECT built.* FROM built JOIN kept USING (cluster_id)
-  ORDER BY cluster_size DESC, cluster_id LIMIT {lx.MAX_TEMPLATES})"""
+    + """, mined AS MATERIALIZED (SELECT built.* FROM built JOIN kept USING (cluster_id))"""
 )
 
 

@@ -309,7 +309,7 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "label_encode_documents",
-    "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY coalesce(CAST(quality AS VARCHAR), '__missing__')) - 1 AS INTEGER) AS label_id "
+    "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY coalesce(CAST(quality AS VARCHAR), '__missing__')) - 1 AS BIGINT) AS label_id "
     "FROM documents LEFT JOIN labels USING (doc_id)",
 )
 def label_encode_documents(spark: SparkSession, sf: str) -> DataFrame:

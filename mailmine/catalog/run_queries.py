@@ -18,7 +18,7 @@ from mailmine.operators import pairs as pr
 from mailmine.operators.prepare import add_texts
 from mailmine.plans import mining, training
 from mailmine.session import cut_lineage, scratch_path
-from mailmine.sources import corpus, landing, sinks
+from mailmine.sources import landing, sinks
 from mailmine.sources.mails import load_csv
 from mailmine.streaming import mails as st
 
@@ -44,7 +44,7 @@ _DBSCAN_SQL = f"""WITH RECURSIVE {m.bag_cte('bag', 'documents', 'doc_id', 'text'
 ), links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)
 ), reach AS (SELECT id, id AS low FROM core UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id
 ), comp AS (SELECT id, min(low) AS low FROM reach GROUP BY 1
-), numbered AS (SELECT low, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS cluster_id FROM (SELECT DISTINCT low FROM comp)
+), numbered AS (SELECT low, CAST(dense_rank() OVER (ORDER BY low) - 1 AS BIGINT) AS cluster_id FROM (SELECT DISTINCT low FROM comp)
 ), border AS (SELECT n.a AS id, min(c.low) AS low FROM near n JOIN comp c ON c.id = n.b WHERE n.a NOT IN (FROM core) GROUP BY 1
 ), found AS (SELECT * FROM comp UNION ALL SELECT * FROM border)
 SELECT doc_id AS row_id, coalesce(cluster_id, -1) AS cluster_id FROM documents LEFT JOIN found ON id = doc_id LEFT JOIN numbered USING (low)"""
@@ -133,40 +133,6 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "email_id", "subject", "body", "category")
 
 
-def _draw_sql(slot: str, size: int) -> str:
-    return f"(('0x' || substr(md5('{corpus.SEED}:' || o_orderkey || ':{slot}'), 1, 8))::UBIGINT % {size})::INT"
-
-
-def _list_sql(texts: list[str]) -> str:
-    return "[" + ", ".join(d.lit(t) for t in texts) + "]"
-
-
-def _corpus_sql() -> str:
-    subjects = [s for e in corpus.BANK for s in e[3]]
-    bodies = [b for e in corpus.BANK for b in e[4]]
-    fills = ", ".join(f"{_list_sql(v)}[1 + {_draw_sql(k, len(v))}] AS {k}" for k, v in corpus.FILLERS.items())
-
-    def fill(text: str) -> str:
-        for slot in corpus.FILLERS:
-            text = f"replace({text}, '{{{slot}}}', {slot})"
-        return text
-
-    labels = ", ".join(
-        f"{_list_sql([e[i] for e in corpus.BANK])}[1 + c] AS {n}" for i, n in enumerate(["category", "tone", "sentiment"])
-    )
-    return f"""WITH drawn AS (SELECT o_orderkey AS row_id, {_draw_sql('category', len(corpus.BANK))} AS c, {_draw_sql('subject', 3)} AS s,
-  {_draw_sql('body', 2)} AS b, {_draw_sql('day', corpus.DAYS)} AS d, {fills} FROM orders
-), texts AS (SELECT *, {_list_sql(subjects)}[1 + c * 3 + s] AS raw_subject, {_list_sql(bodies)}[1 + c * 2 + b] AS raw_body FROM drawn)
-SELECT row_id, 'E' || CASE WHEN row_id < 100000 THEN lpad(CAST(row_id AS VARCHAR), 5, '0') ELSE CAST(row_id AS VARCHAR) END AS email_id,
-  {fill('raw_subject')} AS subject, {fill('raw_body')} AS body, {labels}, sender, recipient,
-  CAST(DATE '{corpus.FIRST_DAY}' + d AS TIMESTAMP) AS created_at FROM texts"""
-
-
-@query("synth_corpus", _corpus_sql())
-def synth_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.synthesize(read(spark, sf, "orders", "o_orderkey"), "o_orderkey")
-
-
 @query("landing_report")
 def landing_report(spark: SparkSession, sf: str) -> DataFrame:
     """Report on delivered files: mails with all columns, documents without a body, a text file."""

@@ -57,28 +57,35 @@ def _quoted(*texts: str) -> list[str]:
     return ["'" + t.replace("'", "''") + "'" for t in texts]
 
 
+# the market segment as a name: first letter large, the rest small
+_SEGMENT = "upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2))"
+_ORDER = "'the ' || lower(c_mktsegment) || ' order'"
+
 _SUBJECT = _choose(
     "o_orderkey",
     [
-        f"'  Invoice ' || {_INVOICE} || ' for the Q3   roadmap'",
-        *_quoted("Following up on the security audit", "Issue with billing discrepancy",
-                 "Thank you for your help", "", "Meeting on Tuesday about availability",
-                 "Our apologies regarding the outage", "URGENT: the product launch",
-                 "Hello from Riley"),
+        f"'  Invoice ' || {_INVOICE} || ' for   ' || lower(c_mktsegment)",
+        f"'Following up on ' || {_ORDER}",
+        f"'Issue with ' || {_ORDER}",
+        *_quoted("Thank you for your help", ""),
+        f"'Meeting on Tuesday, availability for ' || {_ORDER}",
+        f"'Our apologies regarding ' || {_ORDER}",
+        f"'URGENT: ' || o_orderpriority",
+        f"'Hello from ' || {_SEGMENT}",
         f"'RE: order ' || {_KEY} || ' due ' || {_SLASH_DATE}",
-        *_quoted("Announcement: the partnership agreement"),
+        f"'Announcement: news for ' || {_SEGMENT}",
     ],
 )
 _GREETING = _choose("o_orderkey", _quoted("Hi ", "Dear ", "hello ", "Hey ", "Greetings, ", "To "))
-_NAME = _choose("o_custkey", _quoted("Alex", "Jordan", "Priya Nair", "Sam", "Maya"))
+_NAME = f"{_SEGMENT} || CASE WHEN o_custkey % 5 = 2 THEN ' Team' ELSE '' END"
 _MAIN = _choose(
     "o_orderkey",
     [
         f"'Please pay $' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) || ',50 for ' || {_INVOICE} "
         f"|| ' by next week or ' || {_SLASH_DATE} || '. See https://pay.example.com/track?id=' || {_KEY} || ' now.'",
-        "'Just checking in on the audit. Could you confirm by Friday? Call +1 555-010-' "
+        "'Just checking in on your order. Could you confirm by Friday? Call +1 555-010-' "
         "|| lpad(CAST(o_custkey % 10000 AS VARCHAR(20)), 4, '0') || '.'",
-        "'I am unhappy with the delay at Acme Widgets Inc and this is unacceptable. Reply to ops' "
+        "'I am unhappy with the delay at Harbour Parts Inc and this is unacceptable. Reply to ops' "
         "|| CAST(o_custkey AS VARCHAR(20)) || '@example.com on October ' "
         "|| CAST(1 + o_orderkey % 28 AS VARCHAR(20)) || ', 2024.'",
         "'Thanks so much for the support. [image: logo] We really appreciate it.'",
@@ -87,7 +94,7 @@ _MAIN = _choose(
         f"{_KEY} || ' and https://click.example.net/u/' || {_KEY}",
         *_quoted("We regret the mistake. Please accept our apologies; the fix ships by end of month.",
                  "This is critical and time-sensitive; respond immediately or escalate by EOD.",
-                 "Nice to meet you. I would like to introduce Globex Corp and suggest a call."),
+                 "Nice to meet you. I would like to introduce Millbrook Corp and suggest a call."),
         f"'Your request ' || {_KEY} || ' was received on March 3 and is complete.'",
         *_quoted("We are excited and pleased to announce the launch. Join us on Monday!"),
     ],
@@ -111,7 +118,7 @@ _CLOSING = _choose(
     "o_custkey",
     _quoted("Best regards,", "thanks,", "Regards", "Best,", "KIND REGARDS,", "Yours faithfully,", "Cheers,"),
 )
-_SENDER = _choose("o_custkey", _quoted("Jamie", "Riley Doe", "Pat"))
+_SENDER = "CASE o_orderstatus WHEN 'F' THEN 'Filled' WHEN 'O' THEN 'Open Orders' ELSE 'Pending' END"
 _TAIL = _choose(
     "o_custkey",
     [
@@ -161,8 +168,8 @@ MAILS_CTE = (
 def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mail table with null and blank bodies, null subjects and CRLF tails."""
 
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    customer = read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    customer = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return joined.selectExpr(*[f"{e} AS {c}" for c, e in MAIL_COLUMNS.items()])
 

@@ -11,8 +11,14 @@ from mailmine.functions.text import java, normalize_whitespace, substitute
 RULES = {name: (pattern, ignore, text) for name, pattern, ignore, text in lx.PLACEHOLDER_RULES}
 
 
+# the e-mail rule with the same matches, tried once per run of its characters
+EMAIL_LINEAR = r"(?<![\w.-])([.-]*+)\b[\w\.-]++@[\w\.-]+\.\w+\b"
+
+
 def apply_rule(text: Column, rule: str) -> Column:
     pattern, ignore_case, replacement = RULES[rule]
+    if rule == "email":
+        return substitute(text, EMAIL_LINEAR, "$1" + replacement)
     return substitute(text, pattern, replacement, ignore_case)
 
 

@@ -43,14 +43,17 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
     return out
 
 
+# Patterns that meet long runs of blanks are possessive and start only where a run starts, so a
+# text of any length is read once.
+
 def strip(text: Column) -> Column:
     """Trim all Unicode whitespace, not only blanks."""
 
-    return substitute(text, r"\A\s+|\s+\z", "")
+    return substitute(text, r"\A\s++|(?<!\s)\s++\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return substitute(text, r"\s+\z", "")
+    return substitute(text, r"(?<!\s)\s++\z", "")
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -71,7 +74,7 @@ _QUOTED_LINE = "|".join(
 def remove_quoted_replies(text: Column) -> Column:
     """Drop quoted lines together with the blank lines right after them."""
 
-    pattern = java(rf"^(?:{_QUOTED_LINE})\n(?:[^\S\n]*\n)*", ignore_case=True, lines=True)
+    pattern = java(rf"^(?:{_QUOTED_LINE})\n(?:[^\S\n]*+\n)*+", ignore_case=True, lines=True)
     kept = F.regexp_replace(F.concat(text, F.lit("\n")), pattern, "")
     return F.regexp_replace(kept, r"\n\z", "")
 
@@ -125,7 +128,7 @@ def extract_greeting(text: Column) -> Column:
 def extract_closing(text: Column) -> Column:
     """Last line with a closing word among the last six non-blank lines, else ''."""
 
-    filled = F.split(strip(text), java(r"\s*\n\s*"))
+    filled = F.split(strip(text), java(r"(?<!\s)[^\S\n]*+\n\s*+"))
     tail = F.slice(filled, F.greatest(F.size(filled) - 5, F.lit(1)), F.lit(6))
     closing = "|".join(lx.CLOSING_LINES)
     hits = F.filter(tail, lambda line: matches(line, closing, True))

@@ -6,6 +6,8 @@ JVM summarizer, which combines on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,29 +22,46 @@ SIM_DIGITS = 9
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as a matrix, in double."""
+    """A list column as a matrix, in double; a null, an empty value or an uneven length is an error."""
 
+    lengths = column.value_lengths()
+    if column.null_count or len(lengths.unique()) > 1 or column.flatten().null_count:
+        raise ValueError(f"{column.null_count} null vectors, lengths {lengths.unique().to_pylist()[:5]}, "
+                         f"{column.flatten().null_count} null elements")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _whole(kernel: Callable, *columns: pa.Array) -> pa.Array:
+    """``kernel`` over the rows whose vectors are all set; null in, null out."""
+
+    valid = np.ones(len(columns[0]), bool)
+    for c in columns:
+        valid &= ~np.asarray(c.is_null())
+    if valid.all():
+        return kernel(*columns)
+    place = np.where(valid, np.cumsum(valid) - 1, 0)
+    found = kernel(*(c.filter(pa.array(valid)) for c in columns))
+    return found.take(pa.array(place, mask=~valid))
+
+
 @F.arrow_udf(T.DoubleType())
 def dot(a: pa.Array, b: pa.Array) -> pa.Array:
     """Dot product in double."""
 
-    return pa.array((matrix(a) * matrix(b)).sum(axis=1))
+    return _whole(lambda x, y: pa.array((matrix(x) * matrix(y)).sum(axis=1)), a, b)
 
 
 @F.arrow_udf(T.DoubleType())
 def squared_norm(a: pa.Array) -> pa.Array:
-    return pa.array((matrix(a) ** 2).sum(axis=1))
+    return _whole(lambda x: pa.array((matrix(x) ** 2).sum(axis=1)), a)
 
 
 @F.arrow_udf(T.DoubleType())
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Euclidean distance."""
 
-    return pa.array(np.sqrt(((matrix(a) - matrix(b)) ** 2).sum(axis=1)))
+    return _whole(lambda x, y: pa.array(np.sqrt(((matrix(x) - matrix(y)) ** 2).sum(axis=1))), a, b)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,6 +74,10 @@ def cosine(a: Column, b: Column) -> Column:
 def l2_normalize(a: pa.Array) -> pa.Array:
     """Unit length; a zero vector stays as it is."""
 
+    return _whole(_unit_rows, a)
+
+
+def _unit_rows(a: pa.Array) -> pa.Array:
     rows = matrix(a)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     norms[norms == 0] = 1.0

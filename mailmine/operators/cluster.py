@@ -31,16 +31,19 @@ from mailmine.session import cut_lineage, scratch_path
 METHODS = ("kmeans", "agglomerative", "dbscan")
 
 
-def heuristic_k(n: int) -> int:
-    """About sqrt(n / 2), between the two fixed bounds."""
+BOUNDS = (lx.MIN_CLUSTERS, lx.MAX_CLUSTERS)
 
-    return int(min(lx.MAX_CLUSTERS, max(lx.MIN_CLUSTERS, round(math.sqrt(max(n, 4) / 2)))))
 
+def heuristic_k(n: int, bounds: tuple[int, int] = BOUNDS) -> int:
+    """About sqrt(n / 2), between two bounds; give a higher upper one for large tables."""
 
-def choose_k(n: int, requested: int | None = None, configured: int | None = None) -> int:
+    return int(min(bounds[1], max(bounds[0], round(math.sqrt(max(n, 4) / 2)))))
+
+
+def choose_k(n: int, requested: int | None = None, configured: int | None = None, bounds: tuple[int, int] = BOUNDS) -> int:
     """Requested, else configured, else heuristic; zero counts as not given."""
 
-    k = requested or configured or heuristic_k(n)
+    k = requested or configured or heuristic_k(n, bounds)
     return max(2, min(k, max(2, n - 1)))
 
 
@@ -54,25 +57,19 @@ def _numbered(grouped: DataFrame) -> DataFrame:
     return grouped.join(named, "group").select("row_id", "cluster_id")
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = lx.RANDOM_STATE) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, seed: int = lx.RANDOM_STATE, start: str = "k-means||") -> DataFrame:
     """Euclidean k-means on unit vectors.
 
     Fitted on the distinct vectors with their counts as weights: the same objective
-    over fewer points, and copies can not crowd out the starting centres. With no
-    more than ``k`` distinct vectors each of them is a cluster.
+    over fewer points, and copies can not crowd out the starting centres. There are never
+    more clusters than distinct vectors. ``start`` is the way of choosing the first centres.
     """
 
     rows = vectors.select("row_id", "embedding")
     distinct = collapse_equal(rows, "row_id", "embedding")
-    n_distinct = distinct.count()
-    if n_distinct <= k:
-        named = distinct.select(F.col("vec").alias("embedding"), F.col("id").alias("group"))
-        return _numbered(cut_lineage(rows.join(named, "embedding").select("row_id", "group")))
-
+    k = max(1, min(k, distinct.count()))
     points = distinct.select("weight", array_to_vector("vec").alias("features")).persist()
     try:
-        # sampled starting centres need far more points than centres
-        start = "k-means||" if n_distinct >= 20 * k else "random"
         model = KMeans(k=k, seed=seed, maxIter=50, initMode=start, weightCol="weight").fit(points)
     finally:
         points.unpersist()
@@ -221,18 +218,18 @@ def dbscan(vectors: DataFrame, eps: float = lx.DBSCAN_EPS, min_samples: int = lx
 
 
 def cluster(vectors: DataFrame, method: str = "kmeans", n_clusters: int | None = None,
-            configured: int | None = None, seed: int = lx.RANDOM_STATE) -> DataFrame:
+            configured: int | None = None, seed: int = lx.RANDOM_STATE, bounds: tuple[int, int] = BOUNDS) -> DataFrame:
     """Cluster ``vectors(row_id, embedding)`` by the named method."""
 
     name = method.lower()
     if name not in METHODS:
-        raise ValueError(f"Unknown clustering method: {method}")
+        raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
     n = vectors.count()
     if n < 2:
-        raise ValueError("Need at least 2 embeddings to cluster.")
+        raise ValueError(f"{n} vectors make no clusters")
     if name == "dbscan":
         return dbscan(vectors)
-    k = choose_k(n, n_clusters, configured)
+    k = choose_k(n, n_clusters, configured, bounds)
     return kmeans(vectors, k, seed) if name == "kmeans" else agglomerative(vectors, k)
 
 

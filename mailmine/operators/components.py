@@ -66,9 +66,9 @@ def number_in_order(values: DataFrame, column: str, out: str) -> DataFrame:
         offsets.append((row["__part"], total))
         total += row["count"]
     if not offsets:
-        return ranged.select(column, F.lit(0).cast("int").alias(out))
+        return ranged.select(column, F.lit(0).cast("bigint").alias(out))
     starts = spark.createDataFrame(offsets, "__part int, __start long")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(column))
     numbered = ranged.join(F.broadcast(starts), "__part")
     # written, so that the planner knows its size when rows are joined to it
-    return cut_lineage(numbered.select(column, (F.col("__start") + within - 1).cast("int").alias(out)))
+    return cut_lineage(numbered.select(column, (F.col("__start") + within - 1).alias(out)))

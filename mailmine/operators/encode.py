@@ -90,11 +90,15 @@ def fit_tfidf(df: DataFrame, text: str, dim: int = 256) -> FittedEncoder:
 
 
 def fit_word2vec(df: DataFrame, text: str, dim: int = lx.EMBED_DIM, seed: int = lx.RANDOM_STATE,
-                 partitions: int | None = None) -> FittedEncoder:
-    """Word vectors learned on the corpus, averaged over a text."""
+                 partitions: int = 8, min_count: int = 2) -> FittedEncoder:
+    """Word vectors learned on the corpus, averaged over a text.
 
-    slots = partitions or df.sparkSession.sparkContext.defaultParallelism
-    w2v = Word2Vec(vectorSize=dim, minCount=2, seed=seed, numPartitions=slots,
+    ``partitions`` shapes the result, so it does not follow the cluster; words seen less than
+    ``min_count`` times have no vector. The vocabulary is held by the driver: raise
+    ``min_count`` for corpora with very many different words, or use ``fit_tfidf``.
+    """
+
+    w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, numPartitions=partitions,
                    inputCol="__words", outputCol="__raw")
     return _fit(df, text, [w2v], f"word2vec-{dim}")
 
@@ -135,7 +139,15 @@ def resolve_encoder(spark: SparkSession, path: str | None = None, base=None):
         found = spark.read.text(f"{path.rstrip('/')}/metadata").limit(1).count() > 0
     except AnalysisException:
         found = False
-    return load_encoder(path, f"{base.name}-ft") if found else base
+    return load_encoder(path, f"{base.name}-ft-{_model_digest(spark, path)}") if found else base
+
+
+def _model_digest(spark: SparkSession, path: str) -> str:
+    """A digest of the saved model's files: vectors of an older fit are no hits for a newer one."""
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    part = F.sha2("content", 256)
+    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ""), 256).alias("d")).first()["d"][:16]
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame, encoder, text: str) -> DataFrame:

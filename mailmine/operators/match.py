@@ -10,9 +10,6 @@ from mailmine.functions.tone import add_sentiment
 from mailmine.operators.encode import HashedEncoder
 from mailmine.operators.similarity import rank_targets
 
-MAX_TOP_K = 5
-
-
 def encode_templates(templates: DataFrame, encoder=None) -> DataFrame:
     """``cluster_id, template_vec``: each template's subject and body encoded once."""
 
@@ -27,8 +24,8 @@ def match(mails: DataFrame, template_vectors: DataFrame, top_k: int = 1, encoder
           keep: tuple[str, ...] = ()) -> DataFrame:
     """The closest templates of each mail: kept columns, cluster_id, similarity, rank."""
 
-    if not 1 <= top_k <= MAX_TOP_K:
-        raise ValueError(f"top_k must lie between 1 and {MAX_TOP_K}")
+    if top_k < 1:
+        raise ValueError(f"top_k is {top_k}, but a mail has at least one closest template")
     encoder = encoder or HashedEncoder()
     texts = mails.withColumn("__text", combine(F.col("subject"), F.col("body")))
     encoded = encoder.encode(texts, "__text", "__query")

@@ -36,7 +36,7 @@ def label_source(rows: DataFrame, label: str | None, allow_pseudo: bool = True)
         return "supervised"
     if allow_pseudo:
         return "pseudo"
-    raise ValueError("No labels available and pseudo-labels disabled")
+    raise ValueError(f"column {label!r} holds no label, and clusters were not to stand in for them")
 
 
 def training_pairs(rows: DataFrame, label: str = "label_id", text: str = "combined_text",
@@ -69,6 +69,7 @@ def shuffled(pairs: DataFrame, seed: int = lx.PAIR_SEED) -> DataFrame:
 
 
 def require_pairs(pairs: DataFrame) -> DataFrame:
-    if pairs.limit(2).count() < 2:
-        raise NotEnoughPairs("Not enough training pairs were created. Provide more data or larger label classes.")
+    found = pairs.limit(2).count()
+    if found < 2:
+        raise NotEnoughPairs(f"{found} pairs; a fit needs two at least, so labels with two rows or more")
     return pairs

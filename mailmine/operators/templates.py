@@ -36,9 +36,13 @@ def join_members(rows: DataFrame, vectors: DataFrame, assignments: DataFrame) ->
             assignments.select("row_id", "cluster_id"), "row_id"
         )
     )
-    counts = [df.count() for df in (rows, vectors, assignments, members)]
-    if len(set(counts)) != 1:
-        raise MisalignedInput(f"rows, vectors, assignments and joined rows differ in number: {counts}")
+    # per id, so that a doubled one and a missing one do not cancel out
+    sides = [df.select("row_id", *[F.lit(int(k == own)).alias(f"n{k}") for k in range(3)])
+             for own, df in enumerate((rows, vectors, assignments))]
+    per_id = sides[0].union(sides[1]).union(sides[2]).groupBy("row_id").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    wrong = per_id.where("n0 <> 1 or n1 <> 1 or n2 <> 1").limit(5).collect()
+    if wrong:
+        raise MisalignedInput(f"not exactly one row, vector and cluster: {[tuple(r) for r in wrong]}")
     return members
 
 
@@ -100,6 +104,8 @@ def ranked(templates: DataFrame) -> DataFrame:
 
 
 def capped(templates: DataFrame, max_templates: int = lx.MAX_TEMPLATES) -> DataFrame:
+    """An explicit top list."""
+
     return ranked(templates).limit(max_templates)
 
 
@@ -115,11 +121,13 @@ def deduplicated(templates: DataFrame, encoder=None, threshold: float = lx.DUPLI
 
 
 def generate_templates(members: DataFrame, encoder=None, threshold: float = lx.DUPLICATE_SIMILARITY,
-                       max_templates: int = lx.MAX_TEMPLATES) -> DataFrame:
-    """Templates of all clusters, de-duplicated, capped and ranked."""
+                       max_templates: int | None = None) -> DataFrame:
+    """Templates of all clusters, de-duplicated and ranked; ``max_templates`` asks for a top list."""
 
     built = cut_lineage(cluster_templates(members))
-    return capped(deduplicated(built, encoder, threshold), max_templates).select(*TEMPLATE_COLUMNS)
+    kept = deduplicated(built, encoder, threshold)
+    kept = ranked(kept) if max_templates is None else capped(kept, max_templates)
+    return kept.select(*TEMPLATE_COLUMNS)
 
 
 def search(templates: DataFrame, category: str | None = None, tone: str | None = None, text: str = "") -> DataFrame:

@@ -8,12 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailmine.sources.corpus import generate_corpus
 from mailmine.sources.mails import CSV_OPTIONS, DataValidationError, clean_rows, load_csv, normalize_columns, validate_columns
-from mailmine.sources.sinks import write_csv
 
 REPORT = "file string, rows long, columns array<string>, error string"
-NOT_CSV = "Only .csv files are accepted."
+NOT_CSV = "not a .csv file"
 
 
 def _headers(spark: SparkSession, folder: str) -> list:
@@ -47,7 +45,7 @@ def landing_report(spark: SparkSession, folder: str) -> DataFrame:
         try:
             validate_columns(df)
         except DataValidationError as error:
-            refused += [(f, None, None, f"Failed to parse CSV: {error}") for f in files]
+            refused += [(f, None, None, f"unreadable: {error}") for f in files]
             continue
         named = df.withColumn("__file", F.col("_metadata.file_path"))
         cleaned = clean_rows(named)
@@ -70,15 +68,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def resolve_dataset(spark: SparkSession, path: str | None = None, uploads: list[str] = (),
                     sample: str | None = None) -> DataFrame:
-    """The data of a run: the given path, else the newest upload, else the sample, else a new
-    synthetic corpus (saved as the sample)."""
+    """The data of a run: the given path, else the newest upload, else the sample; without any, an error."""
 
     if path is not None:
         return load_csv(spark, path)
     for candidate in [*reversed(list(uploads)), *([sample] if sample else [])]:
         if _exists(spark, candidate):
             return load_csv(spark, candidate)
-    corpus = generate_corpus(spark).drop("row_id")
-    if sample:
-        write_csv(corpus, sample)
-    return corpus
+    raise FileNotFoundError(f"no data: looked at {len(uploads)} uploads and the sample {sample!r}")

@@ -11,7 +11,7 @@ from mailmine.catalog import ORACLE, QUERIES
 from mailmine.operators import encode as en
 from mailmine.operators import match as mt
 from mailmine.plans.mining import MiningParams, mine
-from mailmine.sources import corpus, landing, sinks
+from mailmine.sources import landing, sinks
 from mailmine.sources import mails as sm
 from mailmine.streaming import mails as st
 
@@ -57,28 +57,16 @@ def test_landing_report(spark, tmp_path):
 
 def test_data_set_resolution(spark, tmp_path):
     sample = str(tmp_path / "sample")
-    made = landing.resolve_dataset(spark, sample=sample)
-    assert made.count() == 1100 and landing.resolve_dataset(spark, sample=sample).count() == 1100
+    with pytest.raises(FileNotFoundError):
+        landing.resolve_dataset(spark, sample=sample)
+    write(tmp_path / "kept.csv", "email_id,subject,body\n1,a,b\n2,c,d\n")
+    sample = str(tmp_path / "kept.csv")
+    assert landing.resolve_dataset(spark, sample=sample).count() == 2
     upload = write(tmp_path / "up.csv", "email_id,subject,body\n1,a,b\n")
     assert landing.resolve_dataset(spark, uploads=["/no/such", upload], sample=sample).count() == 1
     assert landing.resolve_dataset(spark, path=upload).count() == 1
 
 
-def test_corpus(spark):
-    df = corpus.generate_corpus(spark, 400)
-    rows = df.collect()
-    assert len(rows) == 400 and rows[7]["email_id"] == "E00007"
-    assert {r["category"] for r in rows} == {e[0] for e in corpus.BANK}
-    assert not any("{" in r["subject"] + r["body"] for r in rows)
-    days = [r["created_at"].date().isoformat() for r in rows]
-    assert min(days) >= "2024-01-01" and max(days) <= "2024-12-31"
-    part = corpus.synthesize(spark.range(5).repartition(3), "id").orderBy("row_id").collect()
-    assert part == [r for r in rows if r["row_id"] < 5]
-    fewer = {k: v for k, v in corpus.FILLERS.items() if k != "topic"}
-    left = corpus.synthesize(spark.range(50), "id", fillers=fewer).collect()
-    assert any("{topic}" in r["subject"] + r["body"] and "{sender}" in r["subject"] + r["body"] for r in left)
-
-
 @pytest.fixture(scope="module")
 def templates(spark, two_topics):
     return mine(two_topics, MiningParams(n_clusters=2)).templates
