@@ -161,7 +161,7 @@ def templates_markdown(spark: SparkSession, sf: str) -> DataFrame:
 def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
     mined = mq.mined_templates(spark, sf)
     path = sinks.export(mined, "json", scratch_path(spark, "templates"))
-    return sinks.read_json(spark, path, mined.schema)
+    return sinks.read_written_json(spark, path, mined.schema)
 
 
 @query("templates_json", f"WITH RECURSIVE {m.DEDUPED_CTE} {m.template_rows('mined')}")

@@ -12,7 +12,7 @@ from mailmine.functions import lexicon as lx
 from mailmine.functions import placeholders as ph
 from mailmine.functions import text as t
 from mailmine.functions import tone as tn
-from mailmine.operators.prepare import add_texts
+from mailmine.operators.prepare import add_features, add_texts
 from mailmine.sources.mails import add_optional_columns, clean_rows, normalize_columns
 
 
@@ -371,3 +371,35 @@ READABILITY_SQL = (
 def readability(spark: SparkSession, sf: str) -> DataFrame:
     scored = t.add_readability(_templated(spark, sf), "body_template", "score")
     return scored.select("row_id", F.round("score", 6).alias("score"))
+
+
+# --- the chain over whole given texts: documents, pages, conversations ---------------------
+
+@query("clean_body_documents", f"SELECT doc_id, {d.clean('text')} AS clean_body FROM documents")
+def clean_body_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", t.clean_body(F.col("text")).alias("clean_body"))
+
+
+@query("placeholderize_pages", f"SELECT page_id, {d.placeholderize('html')} AS text FROM pages")
+def placeholderize_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages", "page_id", "html").select("page_id", ph.placeholderize(F.col("html")).alias("text"))
+
+
+@query(
+    "features_conversations",
+    f"WITH low AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations) SELECT conv_id, turn, {d.greeting('text')} AS greeting, "
+    f"{d.closing('text')} AS closing, {d.intent('low')} AS intent, {d.formality('low')} AS formality, {d.slots('text')} AS placeholders, "
+    f"{d.actions('low')} AS action_words FROM low",
+)
+def features_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations", "conv_id", "turn", "text")
+    return add_features(rows, "text").select(
+        "conv_id", "turn", "greeting", "closing", "intent", "formality", F.array_join("placeholders", ",").alias("placeholders"),
+        F.array_join("action_words", ",").alias("action_words"),
+    )
+
+
+@query("template_body_documents", f"WITH src AS (SELECT doc_id, text FROM documents){d.body_template_cte('src', 'done', 'text')} SELECT doc_id, body_template FROM done")
+def template_body_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return ph.add_body_template(docs, "text", "body_template").select("doc_id", "body_template")

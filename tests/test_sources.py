@@ -74,7 +74,7 @@ def templates(spark, two_topics):
 
 def test_exports(spark, templates, tmp_path):
     paths = sinks.save_templates(templates, str(tmp_path))
-    back = sinks.read_json(spark, paths["json"], templates.schema)
+    back = sinks.read_written_json(spark, paths["json"], templates.schema)
     assert back.collect() == templates.collect()
     text = "".join(p.read_text() for p in (tmp_path / "templates_json").glob("part-*"))
     assert len(json.loads(text)) == 2

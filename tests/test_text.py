@@ -200,3 +200,25 @@ def test_ngrams_of_short_texts(spark):
     df = spark.createDataFrame([(1, "one two"), (2, ""), (3, "A b-c d")], "row_id long, t string")
     rows = t.explode_ngrams(df, "t", 3, keep=("row_id",)).orderBy("position").collect()
     assert [(r["row_id"], r["phrase"]) for r in rows] == [(3, "a b c"), (3, "b c d")]
+
+
+def test_long_runs_are_read_once(spark):
+    """Texts that once overflowed the matcher's stack or took quadratic time."""
+
+    import time
+
+    long = ["> q\n" + " \n" * 100_000 + "end", "a" + " " * 1_000_000 + "b" + " " * 1_000_000, "a." * 500_000, "x " * 300_000 + "\n" + " " * 300_000 + "y"]
+    start = time.time()
+    cleaned = run(spark, long, t.clean_body)
+    assert cleaned[0] == "end" and cleaned[1] == "a b" and cleaned[2] == long[2]
+    assert run(spark, long, ph.placeholderize)[2] == long[2]
+    assert run(spark, long, t.extract_closing) == [""] * 4
+    assert run(spark, long, lambda c: t.strip(t.combine(c, c)))[1].startswith("a")
+    assert time.time() - start < 25
+
+
+def test_email_rule_equals_the_fixed_pattern(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab.-_@ é\n") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    pattern, ignore, replacement = ph.RULES["email"]
+    assert run(spark, texts, lambda c: ph.apply_rule(c, "email")) == run(spark, texts, lambda c: t.substitute(c, pattern, replacement, ignore))

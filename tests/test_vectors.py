@@ -197,3 +197,25 @@ def test_numbers_follow_the_order(spark):
     values = ["b", "a", "d", "c", "a"]
     df = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)
     assert {r["v"]: r["n"] for r in number_in_order(df, "v", "n").collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_null_vectors_stay_null(spark):
+    from mailmine.functions import vectors as vc
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, None)], "i int, v array<double>").coalesce(1)
+    found = rows.select("i", vc.dot("v", "v").alias("d"), vc.squared_norm("v").alias("s"), vc.distance("v", "v").alias("z"), vc.l2_normalize("v").alias("u"))
+    found = {r["i"]: tuple(r)[1:] for r in found.collect()}
+    assert found[1] == (25.0, 25.0, 0.0, [0.6, 0.8]) and found[3] == (0.0, 0.0, 0.0, [0.0, 0.0])
+    assert found[2] == found[4] == (None,) * 4
+    uneven = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="lengths"):
+        uneven.select(vc.dot("v", "v")).collect()
+
+
+def test_match_gives_as_many_as_asked(spark):
+    from mailmine.operators import match as mt
+
+    templates = spark.createDataFrame([(i, f"subject {i}", f"body of w{i}") for i in range(14)], "cluster_id long, subject_template string, body_template string")
+    mails = spark.createDataFrame([(1, "subject 3", "body of w3")], "row_id long, subject string, body string")
+    found = mt.match(mails, mt.encode_templates(templates), top_k=10).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 11)) and found[0]["cluster_id"] == 3
