@@ -133,7 +133,15 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "email_id", "subject", "body", "category")
 
 
-@query("landing_report")
+_DELIVERED = (
+    f"WITH {d.CLEANED_CTE} SELECT 'mails' AS delivery, {d.lit(','.join(lx.REQUIRED_COLUMNS + lx.OPTIONAL_COLUMNS))} AS columns, CAST(NULL AS VARCHAR) AS error, count(*) AS rows FROM cleaned "
+    "UNION ALL SELECT 'documents', NULL, 'unreadable: ' || "
+    + d.lit("Missing required columns: ['email_id', 'subject', 'body']. Found columns: ['doc_id', 'lang']")
+    + f", NULL UNION ALL SELECT 'notes', NULL, {d.lit(landing.NOT_CSV)}, NULL"
+)
+
+
+@query("landing_report", _DELIVERED)
 def landing_report(spark: SparkSession, sf: str) -> DataFrame:
     """Report on delivered files: mails with all columns, documents without a body, a text file."""
 

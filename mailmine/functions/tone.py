@@ -78,23 +78,25 @@ Scorer = Callable[[pd.Series], pd.DataFrame]
 
 def add_model_sentiment(df: DataFrame, text: str, load_scorer: Callable[[], Scorer],
                         sentiment: str = "sentiment", tone: str = "tone",
-                        confidence: str = "confidence") -> DataFrame:
+                        confidence: str = "confidence", fault: str | None = None) -> DataFrame:
     """Sentiment from a user's model, tone from the rules.
 
     ``load_scorer`` runs once per task. A label holding 'pos' or 'neg' decides the
-    sentiment; a batch the scorer fails on falls back to the rules. The scorer
+    sentiment; a batch the scorer fails on falls back to the rules, and ``fault`` names
+    a column for what went wrong with a row's batch (null: nothing). The scorer
     gets the whole text and truncates as its model needs.
     """
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, score double, fault string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
         for texts in batches:
             try:
                 out = scorer(texts)[["label", "score"]].reset_index(drop=True)
-            except Exception:  # the rules take over
-                out = pd.DataFrame({"label": [None] * len(texts), "score": [None] * len(texts)})
-            yield out.astype({"label": object, "score": "float64"})
+                out["fault"] = None
+            except Exception as error:  # the rules take over, and the fault is told
+                out = pd.DataFrame({"label": None, "score": None, "fault": repr(error)[:500]}, index=range(len(texts)))
+            yield out.astype({"label": object, "score": "float64", "fault": object})
 
     ruled = add_sentiment(df, text, "__rule", tone).withColumn("__model", score(F.col(text)))
     label = F.lower(F.col("__model.label"))
@@ -105,5 +107,6 @@ def add_model_sentiment(df: DataFrame, text: str, load_scorer: Callable[[], Scor
                 F.coalesce(model, F.lit("neutral"))
             ),
             confidence: F.col("__model.score"),
+            **({fault: F.col("__model.fault")} if fault else {}),
         }
     ).drop("__rule", "__model")

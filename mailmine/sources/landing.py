@@ -12,17 +12,26 @@ from mailmine.sources.mails import CSV_OPTIONS, DataValidationError, clean_rows,
 
 REPORT = "file string, rows long, columns array<string>, error string"
 NOT_CSV = "not a .csv file"
+EMPTY = "empty file"
 
 
 def _headers(spark: SparkSession, folder: str) -> list:
-    """First line of every delivered file, found by the executors."""
+    """Every delivered file with its first line, null for an empty file; found by the executors."""
 
-    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(
+
+    delivered = spark.read.option("recursiveFileLookup", True).text(folder)
+    files = spark.createDataFrame([(f,) for f in delivered.inputFiles()], "file string")
+    lines = delivered.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
         F.monotonically_increasing_id().alias("line"),
     )
     first = F.min_by("value", "line").alias("header")
-    return lines.where("start = 0").groupBy("file").agg(first).collect()
+    found = lines.where("start = 0").groupBy("file").agg(first)
+    # the listing and the rows may write the root of a path differently
+    root = F.regexp_replace("file", "^(\\w+):/([^/])", "$1:///$2").alias("root")
+    listed = files.select(root, F.col("file").alias("listed"))
+    met = listed.join(found.select(root, "file", "header"), "root", "left")
+    return met.select(F.coalesce("file", "listed").alias("file"), "header").collect()
 
 
 def landing_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +44,9 @@ def landing_report(spark: SparkSession, folder: str) -> DataFrame:
     by_header: dict[str, list[str]] = {}
     refused = []
     for row in _headers(spark, folder):
-        if row["file"].lower().endswith(".csv"):
+        if row["header"] is None:
+            refused.append((row["file"], None, None, EMPTY))
+        elif row["file"].lower().endswith(".csv"):
             by_header.setdefault(row["header"], []).append(row["file"])
         else:
             refused.append((row["file"], None, None, NOT_CSV))

@@ -49,9 +49,11 @@ def test_landing_report(spark, tmp_path):
     write(tmp_path / "bad.csv", "email_id,subject\n1,x\n")
     write(tmp_path / "notes.txt", "hello")
     write(tmp_path / "none.csv", "email_id,subject,body\n")
+    write(tmp_path / "zero.csv", "")
     rows = {r["file"].rsplit("/", 1)[1]: r for r in landing.landing_report(spark, str(tmp_path)).collect()}
     assert rows["good.csv"]["rows"] == 3 and rows["good.csv"]["error"] is None
     assert rows["none.csv"]["rows"] == 0
+    assert rows["zero.csv"]["error"] == landing.EMPTY and len(rows) == 5
     assert "body" in rows["bad.csv"]["error"] and rows["notes.txt"]["error"] == landing.NOT_CSV
 
 

@@ -194,6 +194,7 @@ def test_failing_scorer_falls_back(spark):
     df = spark.createDataFrame([("this is great",)], "t string")
     row = tn.add_model_sentiment(df, "t", load).first()
     assert (row["sentiment"], row["confidence"]) == ("positive", None)
+    assert tn.add_model_sentiment(df, "t", load, fault="fault").first()["fault"]
 
 
 def test_ngrams_of_short_texts(spark):
