@@ -36,7 +36,7 @@ class RuleParams:
 
 SEPARATORS = "|»›·>/•"
 TERMINAL = re.compile(r"[.!?…:;,\"'”’)\]»][\x20\x09-\x0D]*+\Z")
-SHOUTING = re.compile(r"[!?]{2,}")
+SHOUTING = re.compile(r"[!?]{2,}|[#*$%&|<>]{3,}")     # runs of marks and of symbols
 BOILERPLATE = re.compile(
     r"cookie|javascript|all rights reserved|terms of (?:use|service)|privacy policy|sign in|log in|subscribe"
     r"|click here|read more|share this|lorem ipsum|home page", re.IGNORECASE | re.ASCII)

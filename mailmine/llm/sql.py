@@ -104,7 +104,7 @@ judged AS (SELECT doc_id, line, len(w) AS n, CASE
     WHEN separators >= 2 AND 3 * separators >= len(w) THEN true
     WHEN len(w) <= 3 AND NOT regexp_matches(line, '[.!?…:;,"''”’)\]»][\x20\x09-\x0D]*$') THEN true
     WHEN len(w) <= 20 AND regexp_matches(line, '(?i)cookie|javascript|all rights reserved|terms of (?:use|service)|privacy policy|sign in|log in|subscribe|click here|read more|share this|lorem ipsum|home page') THEN true
-    WHEN 2 * len(regexp_extract_all(line, '[!?]{{2,}}')) > len(w) THEN true ELSE false END AS bad FROM filled),
+    WHEN 2 * len(regexp_extract_all(line, '[!?]{{2,}}|[#*$%&|<>]{{3,}}')) > len(w) THEN true ELSE false END AS bad FROM filled),
 l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, sum(CASE WHEN bad THEN 0 ELSE n END) AS left_over FROM judged GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(list_sum([length(x) for x in d.w]), 0) AS word_chars,
              len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.dups, 0) AS dups, coalesce(rep.n, 0) AS n_rep,
