@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailmine.llm import bytesops as B
 from mailmine.llm.tables import documents, keep, prepare
 from mailmine.llm.token_counts import BLANK, library
 
 CHUNK_CHARS = 1 << 15
 BLOCK = 256                 # chunk matrices of one block
-CACHE = 250_000             # parts a worker remembers
+SHORT = 48                  # characters of parts solved together
+BLOCK_CHARS = 1 << 18       # characters solved at a time
+CACHE = 100_000             # parts a worker remembers
 NEVER = -np.inf
 
 
@@ -50,15 +53,32 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
+        # every beginning of a piece; None where it is no piece itself
+        self.begun: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.begun |= self.pieces
         meets = not any(BLANK in p.lstrip(BLANK) for p in self.pieces)
-        self.part = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if meets else r"[\s\S]+")
-        self.meet = re.compile(f"(?<=[^{BLANK}]){BLANK}") if meets else re.compile(r"(?!)")
+        alone = not any("\n" in p for p in self.pieces)     # a line end then stands alone
+        blank, end = (BLANK, "\n") if alone else (BLANK, "")
+        self.part = re.compile(("\n|" if alone else "") + f"{blank}+[^{blank}{end}]*|[^{blank}{end}]+" if meets else r"[\s\S]+")
+        self.meet = re.compile(f"(?<=[^{BLANK}]){BLANK}" + (r"|\n|(?<=\n)[\s\S]" if alone else "")) if meets else re.compile(r"(?!)")
+        # text of an id where it does not depend on its neighbours
+        self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.names)]
+        self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(len(self.names))])
         self.solved: dict[str, tuple[int, tuple[int, ...]]] = {}
+        # by length: hashes of the pieces in order, scores, ids, and which leading hash bits occur
+        self.tables = {}
+        for size in range(1, self.longest + 1):
+            rows = [(p, *v) for p, v in self.pieces.items() if len(p) == size] or [("\0" * size, 0, -1)]
+            points = np.frombuffer("".join(r[0] for r in rows).encode("utf-32-le"), np.uint32)
+            hashes = B.window_hashes(points, size)[::size]
+            order, likely = np.argsort(hashes), np.zeros(1 << 20, bool)
+            likely[hashes >> np.uint64(44)] = True
+            self.tables[size] = hashes[order], np.array([float(r[1]) for r in rows])[order], np.array([r[2] for r in rows])[order], likely
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list, list]:
         """Best score and best last start of every node, for pieces that begin in start..stop."""
 
-        pieces, n = self.pieces, len(text)
+        begun, n, no = self.begun, len(text), 0
         best: list = [None] * (n + 1)
         back = [0] * (n + 1)
         best[start] = 0
@@ -66,16 +86,18 @@ class Vocabulary:
             score = best[i]
             if score is None:
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = pieces.get(text[i:j])
+            if text[i] not in self.pieces:
+                other = score + self.unknown
+                if best[i + 1] is None or other > best[i + 1]:
+                    best[i + 1], back[i + 1] = other, i
+            for j in range(i + 1, n + 1):
+                found = begun.get(text[i:j], no)
+                if found is no:
+                    break
                 if found is not None:
                     other = score + found[0]
-                elif j == i + 1:
-                    other = score + self.unknown
-                else:
-                    continue
-                if best[j] is None or other > best[j]:
-                    best[j], back[j] = other, i
+                    if best[j] is None or other > best[j]:
+                        best[j], back[j] = other, i
         return best, back
 
     def trace(self, text: str, back: list, start: int, end: int) -> list[int]:
@@ -89,25 +111,119 @@ class Vocabulary:
         return out
 
     def solve(self, part: str) -> tuple[int, tuple[int, ...]]:
-        found = self.solved.get(part)
-        if found is None:
-            best, back = self.forward(part, 0, len(part))
-            found = best[-1], tuple(self.trace(part, back, 0, len(part)))
-            if len(self.solved) >= CACHE:
-                self.solved.clear()
-            if len(part) <= 64:
-                self.solved[part] = found
-        return found
+        best, back = self.forward(part, 0, len(part))
+        return best[-1], tuple(self.trace(part, back, 0, len(part)))
+
+    def solve_many(self, parts: list[str]) -> dict[str, tuple[int, tuple[int, ...]]]:
+        """``solve`` for many short parts at once: one step of the recursion is an array step over all parts."""
+
+        lengths = np.array([len(p) for p in parts])
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(lengths) - lengths
+        word = np.repeat(np.arange(len(parts)), lengths)
+        offset = np.arange(len(points)) - starts[word]
+        left = lengths[word] - offset
+        # every piece found at any place: where, how long, its score and id
+        places, sizes, values, names = [], [], [], []
+        for size in range(1, min(self.longest, int(lengths.max())) + 1):
+            keys, scores, ids, likely = self.tables[size]
+            hashes = B.window_hashes(points, size)
+            at = np.flatnonzero(likely[hashes >> np.uint64(44)] & (left[:len(hashes)] >= size))
+            row = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+            hit = keys[row] == hashes[at]
+            at, row = at[hit], row[hit]
+            score, name = scores[row], ids[row]
+            if size == 1:
+                none = np.ones(len(points), bool)
+                none[at] = False
+                none = np.flatnonzero(none)
+                at, score, name = np.append(at, none), np.append(score, np.full(len(none), float(self.unknown))), np.append(name, np.full(len(none), -1))
+            places.append(at)
+            sizes.append(np.full(len(at), size))
+            values.append(score)
+            names.append(name)
+        place, size, value, name = (np.concatenate(x) for x in (places, sizes, values, names))
+        order = np.argsort(offset[place].astype(np.uint8), kind="stable")
+        place, size, value, name = place[order], size[order], value[order], name[order]
+        node = place + word[place]                           # a part of n characters has n + 1 nodes
+        to, step = node + size, np.searchsorted(offset[place], np.arange(int(lengths.max()) + 1))
+        nodes = starts + np.arange(len(parts))
+        best = np.full(len(points) + len(parts), NEVER)
+        back, last = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        best[nodes] = 0
+        for a, b in zip(step[:-1], step[1:], strict=True):
+            # pieces that begin at one offset end at different nodes
+            other = best[node[a:b]] + value[a:b]
+            better = np.flatnonzero(other > best[to[a:b]]) + a
+            goal = to[better]
+            best[goal], back[goal], last[goal] = other[better - a], size[better], name[better]
+        found_at, found_ids, at, own = [], [], nodes + lengths, np.arange(len(parts))
+        while len(own):
+            found_at.append(own)
+            found_ids.append(last[at])
+            at = at - back[at]
+            more = at > nodes[own]
+            at, own = at[more], own[more]
+        owner, ids = np.concatenate(found_at[::-1]), np.concatenate(found_ids[::-1])
+        order = np.argsort(owner, kind="stable")
+        ids, cuts = ids[order].tolist(), np.searchsorted(owner[order], np.arange(len(parts) + 1)).tolist()
+        totals = best[nodes + lengths].tolist()
+        out = {}
+        for k, part in enumerate(parts):
+            own_ids = tuple(ids[cuts[k]:cuts[k + 1]])
+            # characters without a piece become bytes: those parts are few
+            out[part] = self.solve(part) if -1 in own_ids else (int(totals[k]), own_ids)
+        return out
 
     def encode(self, marked: str) -> tuple[int, list[int]]:
         """Best score and ids of a text that has its blank marks."""
 
-        score, out = 0, []
-        for part in self.part.findall(marked):
-            s, ids = self.solve(part)
-            score += s
-            out += ids
-        return score, out
+        return self.encode_texts([marked])[0]
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[int, list[int]]]:
+        """``encode`` for many texts; their distinct parts are solved together, a bounded number at a time."""
+
+        out: list[tuple[int, list[int]]] = [(0, []) for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for block in self.blocks(text):
+                held.append((k, self.part.findall(block)))
+                size += len(block)
+                if size >= BLOCK_CHARS:
+                    self._finish(held, out)
+                    held, size = [], 0
+        self._finish(held, out)
+        return out
+
+    def _finish(self, held: list[tuple[int, list[str]]], out: list[tuple[int, list[int]]]) -> None:
+        wanted = {p for _, parts in held for p in parts}
+        new = wanted - self.solved.keys()
+        if len(self.solved) + len(new) > CACHE:
+            self.solved.clear()
+            new = wanted
+        short = [p for p in new if len(p) <= SHORT]
+        self.solved |= self.solve_many(short) if short else {}
+        self.solved |= {p: self.solve(p) for p in new if len(p) > SHORT}
+        for k, parts in held:
+            score, ids = out[k]
+            for part in parts:
+                s, found = self.solved[part]
+                score += s
+                ids += found
+            out[k] = score, ids
+
+    def blocks(self, marked: str) -> Iterator[str]:
+        """Stretches of a text between places where paths meet, so that what is solved at once stays bounded."""
+
+        at = 0
+        while len(marked) - at > 2 * BLOCK_CHARS:
+            cut = self.meet.search(marked, at + BLOCK_CHARS)
+            if cut is None:
+                break
+            yield marked[at:cut.start()]
+            at = cut.start()
+        yield marked[at:]
 
     def transfer(self, text: str, n: int) -> np.ndarray:
         """Best score from each entering to each leaving state of a chunk of n characters; text has the lookahead."""
@@ -143,6 +259,8 @@ class Vocabulary:
                 *self.trace(text[last:], tail, 0, n - last + leave)]
 
     def decode(self, ids: list[int]) -> str:
+        if not self.joins[ids].any():
+            return "".join([self.plain[i] for i in ids])[1:]
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -210,8 +328,9 @@ def _whole(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            yield _batch([_row(v, d, t, 1 if t else 0, v.encode(marked(t or ""))[1], with_ids)
-                          for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)])
+            texts = [marked(x or "") for x in batch.column("text").to_pylist()]
+            yield _batch([_row(v, d, t, 1 if t else 0, ids, with_ids)
+                          for d, t, (_, ids) in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), v.encode_texts(texts), strict=True)])
     return run
 
 
