@@ -6,7 +6,7 @@ table; the distribution of the work is Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 SLICE_BYTES = 2 << 20
+BLOCK = 1 << 18    # values hashed at a time
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than every id
 
 # odd multipliers of the polynomial hashes, modulo 2^64
@@ -47,7 +48,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << int(n).bit_length()
+            size = max(n, 2 * BLOCK + 1)
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -77,8 +78,24 @@ def _prefix(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: bool = False) -> np.ndarray:
-    """64-bit hash of each values[start:end]; ``words`` picks the base used for word hashes."""
-
+    """64-bit hash of each values[start:end], starts ascending; ``words`` picks the base used for word hashes."""
+
+    if len(values) > 2 * BLOCK:
+        # a hash does not depend on where its range lies: block by block, in bounded memory
+        out, k = np.empty(len(starts), np.uint64), 0
+        while k < len(starts):
+            base = int(starts[k])
+            stop = max(int(np.searchsorted(starts, base + BLOCK)), k + 1)
+            top = int(ends[k:stop].max())
+            if top - base > 2 * BLOCK:      # a range longer than a block is hashed alone
+                stop, top = k + 1, int(ends[k])
+            out[k:stop] = _range_hashes(values[base:top], starts[k:stop] - base, ends[k:stop] - base, words)
+            k = stop
+        return out
+    return _range_hashes(values, starts, ends, words)
+
+
+def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: bool) -> np.ndarray:
     prefix, down = _prefix(values, _WORD_POWERS if words else _BYTE_POWERS)
     lengths = (ends - starts).astype(np.uint64)
     return mix((prefix[ends] - prefix[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
@@ -90,6 +107,8 @@ def window_hashes(values: np.ndarray, size: int, words: bool = False) -> np.ndar
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if n > 2 * BLOCK:
+        return np.concatenate([window_hashes(values[a:a + BLOCK + size - 1], size, words) for a in range(0, n, BLOCK)])
     prefix, down = _prefix(values, _WORD_POWERS if words else _BYTE_POWERS)
     return mix((prefix[size:] - prefix[:n]) * down[:n])
 
@@ -152,6 +171,13 @@ def inside_rows(row_offsets: np.ndarray, size: int, n: int) -> np.ndarray:
     return room >= size
 
 
+def hashes_at(values: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function for the ``window_hashes`` at some starts only, of any size."""
+
+    prefix, down = _prefix(values, _BYTE_POWERS)
+    return lambda at, size: mix((prefix[at + size] - prefix[at]) * down[at])
+
+
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` consecutive hashes the index of its smallest (the leftmost of equals).
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +65,17 @@ class Vocabulary:
         # text of an id where it does not depend on its neighbours
         self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.names)]
         self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(len(self.names))])
-        self.solved: dict[str, tuple[int, tuple[int, ...]]] = {}
-        # by length: hashes of the pieces in order, scores, ids, and which leading hash bits occur
+        self.solved: dict[str, tuple[int, ...]] = {}
+        self.scores: dict[str, int] = {}
+        # by length: hashes of the pieces in order, scores, ids, and which leading hash bits a piece or its beginning has
         self.tables = {}
         for size in range(1, self.longest + 1):
             rows = [(p, *v) for p, v in self.pieces.items() if len(p) == size] or [("\0" * size, 0, -1)]
             points = np.frombuffer("".join(r[0] for r in rows).encode("utf-32-le"), np.uint32)
             hashes = B.window_hashes(points, size)[::size]
             order, likely = np.argsort(hashes), np.zeros(1 << 20, bool)
-            likely[hashes >> np.uint64(44)] = True
+            begun = np.frombuffer("".join(p for p in self.begun if len(p) == size).encode("utf-32-le"), np.uint32)
+            likely[B.window_hashes(begun, size)[::size] >> np.uint64(44)] = True
             self.tables[size] = hashes[order], np.array([float(r[1]) for r in rows])[order], np.array([r[2] for r in rows])[order], likely
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list, list]:
@@ -114,7 +117,7 @@ class Vocabulary:
         best, back = self.forward(part, 0, len(part))
         return best[-1], tuple(self.trace(part, back, 0, len(part)))
 
-    def solve_many(self, parts: list[str]) -> dict[str, tuple[int, tuple[int, ...]]]:
+    def solve_many(self, parts: list[str]) -> None:
         """``solve`` for many short parts at once: one step of the recursion is an array step over all parts."""
 
         lengths = np.array([len(p) for p in parts])
@@ -125,13 +128,16 @@ class Vocabulary:
         left = lengths[word] - offset
         # every piece found at any place: where, how long, its score and id
         places, sizes, values, names = [], [], [], []
+        hashes_at, open_ = B.hashes_at(points), np.arange(len(points))
         for size in range(1, min(self.longest, int(lengths.max())) + 1):
             keys, scores, ids, likely = self.tables[size]
-            hashes = B.window_hashes(points, size)
-            at = np.flatnonzero(likely[hashes >> np.uint64(44)] & (left[:len(hashes)] >= size))
-            row = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-            hit = keys[row] == hashes[at]
-            at, row = at[hit], row[hit]
+            open_ = open_[left[open_] >= size]
+            hashes = hashes_at(open_, size)
+            begun = likely[hashes >> np.uint64(44)]
+            open_, hashes = open_[begun], hashes[begun]       # others begin no longer piece either
+            row = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[row] == hashes
+            at, row = open_[hit], row[hit]
             score, name = scores[row], ids[row]
             if size == 1:
                 none = np.ones(len(points), bool)
@@ -166,24 +172,26 @@ class Vocabulary:
             at, own = at[more], own[more]
         owner, ids = np.concatenate(found_at[::-1]), np.concatenate(found_ids[::-1])
         order = np.argsort(owner, kind="stable")
+        unknown = owner[ids < 0]
         ids, cuts = ids[order].tolist(), np.searchsorted(owner[order], np.arange(len(parts) + 1)).tolist()
         totals = best[nodes + lengths].tolist()
-        out = {}
-        for k, part in enumerate(parts):
-            own_ids = tuple(ids[cuts[k]:cuts[k + 1]])
-            # characters without a piece become bytes: those parts are few
-            out[part] = self.solve(part) if -1 in own_ids else (int(totals[k]), own_ids)
-        return out
+        self.solved |= zip(parts, [tuple(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        self.scores |= zip(parts, map(int, totals))
+        # characters without a piece become bytes: those parts are few
+        for k in np.unique(unknown).tolist():
+            self.scores[parts[k]], self.solved[parts[k]] = self.solve(parts[k])
 
     def encode(self, marked: str) -> tuple[int, list[int]]:
         """Best score and ids of a text that has its blank marks."""
 
-        return self.encode_texts([marked])[0]
+        total = [0]
+        ids = self.encode_texts([marked], total)[0]
+        return total[0], ids
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[int, list[int]]]:
-        """``encode`` for many texts; their distinct parts are solved together, a bounded number at a time."""
+    def encode_texts(self, texts: list[str], totals: list[int] | None = None) -> list[list[int]]:
+        """Ids of many texts; their distinct parts are solved together, a bounded number at a time. Scores are added to ``totals``."""
 
-        out: list[tuple[int, list[int]]] = [(0, []) for _ in texts]
+        out: list[list[int]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -191,27 +199,27 @@ class Vocabulary:
                 held.append((k, self.part.findall(block)))
                 size += len(block)
                 if size >= BLOCK_CHARS:
-                    self._finish(held, out)
+                    self._finish(held, out, totals)
                     held, size = [], 0
-        self._finish(held, out)
+        self._finish(held, out, totals)
         return out
 
-    def _finish(self, held: list[tuple[int, list[str]]], out: list[tuple[int, list[int]]]) -> None:
-        wanted = {p for _, parts in held for p in parts}
+    def _finish(self, held: list[tuple[int, list[str]]], out: list[list[int]], totals: list[int] | None) -> None:
+        wanted = set(chain.from_iterable(parts for _, parts in held))
         new = wanted - self.solved.keys()
         if len(self.solved) + len(new) > CACHE:
             self.solved.clear()
+            self.scores.clear()
             new = wanted
-        short = [p for p in new if len(p) <= SHORT]
-        self.solved |= self.solve_many(short) if short else {}
-        self.solved |= {p: self.solve(p) for p in new if len(p) > SHORT}
+        if short := [p for p in new if len(p) <= SHORT]:
+            self.solve_many(short)
+        for part in new:
+            if len(part) > SHORT:
+                self.scores[part], self.solved[part] = self.solve(part)
         for k, parts in held:
-            score, ids = out[k]
-            for part in parts:
-                s, found = self.solved[part]
-                score += s
-                ids += found
-            out[k] = score, ids
+            out[k] += chain.from_iterable(map(self.solved.__getitem__, parts))
+            if totals is not None:
+                totals[k] += sum(map(self.scores.__getitem__, parts))
 
     def blocks(self, marked: str) -> Iterator[str]:
         """Stretches of a text between places where paths meet, so that what is solved at once stays bounded."""
@@ -330,7 +338,7 @@ def _whole(path: str, with_ids: bool):
         for batch in batches:
             texts = [marked(x or "") for x in batch.column("text").to_pylist()]
             yield _batch([_row(v, d, t, 1 if t else 0, ids, with_ids)
-                          for d, t, (_, ids) in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), v.encode_texts(texts), strict=True)])
+                          for d, t, ids in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), v.encode_texts(texts), strict=True)])
     return run
 
 
