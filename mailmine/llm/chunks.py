@@ -25,7 +25,7 @@ CHUNK = "chunk bigint, n_bytes bigint, doc_ids binary, offsets binary, data bina
 ANSWER = "chunk bigint, shard int, bits binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def row() -> pa.RecordBatch:
@@ -40,20 +40,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = B.texts(batch.column("text"))
         ids = B.ids(batch.column("doc_id"))
-        for low, high in B.slices(offsets, CHUNK_BYTES):
+        for low, high in B.slices(offsets, limit):
             held.append((ids[low:high], offsets[low:high + 1] - offsets[low], data[offsets[low]:offsets[high]]))
             size += int(offsets[high] - offsets[low])
-            if size >= CHUNK_BYTES // 2:
+            if size >= limit // 2:
                 yield row()
                 held, size, serial = [], 0, serial + 1
     if held:
         yield row()
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """The written table of chunks, and its bytes of text."""
 
-    chunks, _ = keep(documents(docs).mapInArrow(_packed, CHUNK), "chunks")
+    chunks, _ = keep(documents(docs).mapInArrow(lambda batches: _packed(batches, limit), CHUNK), "chunks")
     return chunks, int(chunks.agg(F.sum("n_bytes")).first()[0] or 0)
 
 

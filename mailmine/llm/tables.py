@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from mailmine.session import scratch_path, ship_package
 
 # Texts are long: few rows in an Arrow batch keep a worker's memory small.
-ARROW_ROWS = "256"
+ARROW_ROWS = "128"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,7 +36,7 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder; the table read back and its path, for ``discard``."""
+    """Write ``df`` to the shared folder; the table read back, and its path."""
 
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -45,20 +45,6 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete superseded rounds that this module wrote."""
-
-    for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id as bigint and text as string, and no other column."""
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def carrying(docs: DataFrame) -> DataFrame:
     """doc_id and text as ``documents`` has them, and the whole row as the struct ``carry``."""
 
@@ -77,3 +63,9 @@ def shards(n_values: int, per_shard: int) -> int:
     """Number of buckets so that each gets about ``per_shard`` values, whatever the size of the input."""
 
     return max(1, -(-int(n_values) // per_shard))
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id as bigint and text as string, and no other column."""
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
