@@ -67,7 +67,9 @@ def kmeans(vectors: DataFrame, k: int, seed: int = lx.RANDOM_STATE, start: str =
 
     rows = vectors.select("row_id", "embedding")
     distinct = collapse_equal(rows, "row_id", "embedding")
-    k = max(1, min(k, distinct.count()))
+    k = min(k, distinct.count())
+    if k < 2:  # nothing to divide
+        return rows.select("row_id", F.lit(0).cast("bigint").alias("cluster_id"))
     points = distinct.select("weight", array_to_vector("vec").alias("features")).persist()
     try:
         model = KMeans(k=k, seed=seed, maxIter=50, initMode=start, weightCol="weight").fit(points)
