@@ -105,7 +105,7 @@ def test_match_finds_the_template_of_a_mail(spark, two_topics):
     assert len(rows) == 80 and all(best[i] == (0 if i < 20 else 1) for i in range(40))
     assert {r["detected_sentiment"] for r in rows if r["row_id"] >= 20} == {"negative"}
     with pytest.raises(ValueError):
-        mt.match(two_topics, vectors, top_k=6)
+        mt.match(two_topics, vectors, top_k=0)
 
 
 def test_encoder_values_and_empty_text(spark):
