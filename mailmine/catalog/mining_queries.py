@@ -666,4 +666,4 @@ def match_annotated(spark: SparkSession, sf: str) -> DataFrame:
 )
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut_lineage(desk_rows(spark, sf).select("row_id", "combined_text", "desk"))
-    return pr.require_pairs(pr.training_pairs(cut_lineage(pr.encode_labels(rows, "desk"))))
+    return pr.require_pairs(pr.training_pairs(cut_lineage(pr.encode_labels(rows, "desk")), max_per_class=None))

@@ -39,22 +39,46 @@ def label_source(rows: DataFrame, label: str | None, allow_pseudo: bool = True)
     raise ValueError(f"column {label!r} holds no label, and clusters were not to stand in for them")
 
 
+def _places(keys: DataFrame, label: str) -> DataFrame:
+    """``place`` of every row within its label by (draw, row_id), from 1.
+
+    Equal ranges of the draw's first 32 bits hold about ``PAIR_RANGE_ROWS`` rows of the whole
+    table each, so a label with very many rows is spread over many tasks; a label's ranges are
+    put in order by their counts.
+    """
+
+    n_ranges = max(1, -(-keys.count() // lx.PAIR_RANGE_ROWS))
+    head = F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint")
+    ranged = keys.withColumn("range", F.shiftright(head * F.lit(n_ranges).cast("bigint"), 32))
+    counts = ranged.groupBy(label, "range").count()
+    before = Window.partitionBy(label).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(label, "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy(label, "range").orderBy("draw", "row_id"))
+    return ranged.withColumn("within", within).join(starts, [label, "range"]).select(
+        label, "row_id", (F.col("start") + F.col("within")).alias("place"))
+
+
 def training_pairs(rows: DataFrame, label: str = "label_id", text: str = "combined_text",
-                   max_per_class: int = lx.PAIRS_PER_CLASS, seed: int = lx.PAIR_SEED) -> DataFrame:
-    """Positive pairs within a label: a seeded sample per label, neighbours paired, order shuffled.
+                   max_per_class: int | None = lx.PAIRS_PER_CLASS, seed: int = lx.PAIR_SEED) -> DataFrame:
+    """Positive pairs within a label: rows in a seeded order, neighbours paired.
 
-    The sample is the rows with the smallest md5 of seed and row id, so it does not
-    depend on partitioning. The sample is drawn before the texts are joined, and each
-    task keeps at most ``max_per_class`` rows of a label before the shuffle.
+    The order is that of the md5 of seed and row id, so it does not depend on partitioning.
+    ``max_per_class=None`` pairs all rows of every label (the odd last one stays alone); a number
+    asks for a sample, the first so many rows of each label, and then each task keeps at most
+    that many rows of a label before the shuffle. Texts are joined to the finished pairs.
     """
 
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
     keys = rows.where(F.col(label) != lx.NOISE).select(label, "row_id", draw.alias("draw"))
-    by_draw = Window.partitionBy(label).orderBy("draw", "row_id")
-    sample = keys.withColumn("place", F.row_number().over(by_draw)).where(F.col("place") <= max_per_class)
-    paired = sample.withColumn("positive_id", F.lead("row_id").over(by_draw))
-    paired = paired.where((F.col("place") % 2 == 1) & F.col("positive_id").isNotNull())
-    pairs = paired.select(label, F.col("row_id").alias("anchor_id"), "positive_id")
+    if max_per_class is None:
+        placed = _places(keys, label)
+    else:
+        by_draw = Window.partitionBy(label).orderBy("draw", "row_id")
+        placed = keys.withColumn("place", F.row_number().over(by_draw)).where(F.col("place") <= max_per_class)
+    number = F.floor((F.col("place") - 1) / 2)
+    paired = placed.groupBy(label, number.alias("number")).agg(
+        F.min_by("row_id", "place").alias("anchor_id"), F.max_by("row_id", "place").alias("positive_id"), F.count("*").alias("n"))
+    pairs = paired.where("n = 2").select(label, "anchor_id", "positive_id")
     texts = rows.select(F.col("row_id").alias("anchor_id"), F.col(text).alias("anchor"))
     found = pairs.join(texts, "anchor_id").join(
         texts.withColumnsRenamed({"anchor_id": "positive_id", "anchor": "positive"}), "positive_id"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from mailmine.functions import lexicon as lx
 from mailmine.operators import encode as en
 from mailmine.operators import labels as lb
 from mailmine.operators import match as mt
@@ -168,6 +171,24 @@ def test_pairs(spark):
         pr.require_pairs(pr.training_pairs(noise))
 
 
+def test_pairs_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lx, "PAIR_RANGE_ROWS", 16)  # labels of many ranges
+    rows = [(i, 0 if i < 701 else 1 if i < 704 else 2 if i < 705 else -1, f"text {i}") for i in range(720)]
+    df = spark.createDataFrame(rows, "row_id long, label_id int, combined_text string").repartition(4)
+    found = pr.training_pairs(df, max_per_class=None).collect()
+    want = set()
+    for label in range(3):
+        ids = sorted((i for i, x, _ in rows if x == label), key=lambda i: hashlib.md5(f"13:{i}".encode()).hexdigest())
+        want |= {(label, a, b, f"text {a}", f"text {b}") for a, b in zip(ids[::2], ids[1::2], strict=False)}
+    assert len(found) == len(want) == 351 and {tuple(r) for r in found} == want
+
+
+def test_training_set_has_all_rows(spark):
+    rows = [(i, "a" if i < 205 else "b", f"text {i}") for i in range(208)]
+    df = spark.createDataFrame(rows, "row_id long, category string, combined_text string")
+    assert training.training_set(df).count() == 103
+
+
 def test_label_source(spark, two_topics):
     blank = two_topics.withColumn("category", F.lit(None).cast("string"))
     assert pr.label_source(two_topics, "category") == "supervised"
