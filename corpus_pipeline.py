@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailmine.llm.decontaminate import find_contamination
-from mailmine.llm.near_dedup import find_near_duplicates
+from mailmine.llm.near_dedup import without_near_copies
 from mailmine.llm.pieces import encode_documents
 from mailmine.llm.quality_model import fit_quality, score_quality
 from mailmine.llm.secrets import scan_secrets
@@ -38,11 +38,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, similarity 0.8)."""
+    """The row with the smallest id of each group of near copies (five words, similarity 0.8)."""
 
-    kept = find_near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["kept_id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

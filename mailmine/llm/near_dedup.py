@@ -15,8 +15,9 @@
 4. Components of the confirmed links, then back to every document by its class.
 
 Defined results: an empty set (null, empty or blank text) is linked with nothing; a null doc_id
-counts as larger than every id and comes out as null; rows with equal doc_id have the same
-component as their class; further columns are ignored; an empty table gives an empty result.
+counts as larger than every id and comes out as null, so a component of null ids alone has a null
+component_id; a row has the component of its class, whichever other rows have its doc_id;
+further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailmine.llm import bytesops as B
@@ -100,7 +101,7 @@ def band_keys(sketches: np.ndarray, p: NearParams) -> np.ndarray:
     return B.mix(keys + np.arange(p.bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-SKETCHED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+SKETCHED = "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
 
 def _sketched(p: NearParams):
@@ -112,10 +113,10 @@ def _sketched(p: NearParams):
                 some = [s for s in sets if len(s)]
                 found = iter(band_keys(sketch(some, p.bands * p.rows), p)) if some else iter(())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()),
+                    *(batch.column(c).slice(low, high - low) for c in ("doc_id", "text_key")), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "set_key", "bands"])
+                ], names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
     return run
 
 
@@ -243,21 +244,35 @@ def _large_groups(sets: DataFrame, p: NearParams) -> DataFrame:
     return links.union(more)
 
 
-def find_near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per document."""
+def _row_key() -> tuple[Column, Column]:
+    """doc_id and text_key: tell rows of different texts apart, also where ids are missing or shared."""
+
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(B.NO_ID)), F.xxhash64(F.lit("text"), F.col("text").cast("string"))
+
+
+def _components(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(doc_id, text_key, n_shingles, set_key, component, component_id): one row per document.
+
+    ``component`` is a key of classes and tells components apart whatever their ids; it is null
+    for an empty set. ``component_id`` is the smallest doc_id of the component. A null doc_id is NO_ID.
+    """
 
-    p, spark = params, docs.sparkSession
-    prepare(spark)
-    docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(B.NO_ID)))
+    prepare(docs.sparkSession)
+    doc_id, text_key = _row_key()
+    docs = documents(docs).select(doc_id.alias("doc_id"), "text", text_key.alias("text_key"))
     sketched, _ = keep(docs.mapInArrow(_sketched(p), SKETCHED), "sketches")
+    # a class is known by the hash of its set, 63 bits as ``linked`` takes no negative keys; its ids may be missing or shared with other classes.
+    # One of its texts, told by (doc_id, text_key), gives the full set.
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("bands").alias("bands"))
+    classes = classes.select("set_key", F.shiftrightunsigned(F.xxhash64("set_key"), 1).alias("rep"), "first.doc_id", "first.text_key", "bands")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges, _ = keep(banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "edges")
     groups, _ = keep(connected_components(edges), "groups")
-    members = classes.select("set_key", "rep").join(groups, F.col("rep") == F.col("node")).select("set_key", "rep", F.col("component").alias("grp"))
-    text = docs.join(members, docs["doc_id"] == members["rep"]).select("set_key", "rep", "grp", "text")
+    members = classes.drop("bands").join(groups, F.col("rep") == F.col("node")).select(
+        "doc_id", "text_key", "set_key", "rep", F.col("component").alias("grp"))
+    text = docs.join(members, ["doc_id", "text_key"]).select("set_key", "rep", "grp", "text")
     sets, _ = keep(text.mapInArrow(_sets(p), "grp bigint, rep bigint, n bigint, values binary").dropDuplicates(["rep", "grp"]), "sets")
     sizes = sets.groupBy("grp").agg(F.sum("n").alias("total"))
     large = sizes.where(F.col("total") > p.group_values).select("grp")
@@ -268,10 +283,33 @@ def find_near_duplicates(docs: DataFrame, params: NearParams = NearParams()) ->
         links = links.union(_large_groups(sets.join(large, "grp", "left_semi"), p))
     links, _ = keep(links, "confirmed")
     found = connected_components(links).withColumnRenamed("node", "rep")
-    by_class = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    by_class = by_class.join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
+    joined, _ = keep(classes.select("rep", "doc_id").join(found, "rep"), "components")
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = joined.select("rep", "component").join(least, "component")
+    by_class = classes.select("set_key", "rep", "doc_id").join(joined, "rep", "left").select(
+        "set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketched.select("doc_id", "text_key", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def find_near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document."""
+
     none = F.lit(B.NO_ID)
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), "n_shingles", F.nullif(component, none).alias("component_id"),
-                      (F.col("doc_id") == component).alias("kept"))
+    return _components(docs, params).select(
+        F.nullif("doc_id", none).alias("doc_id"), "n_shingles", F.nullif("component_id", none).alias("component_id"),
+        (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """One row of ``docs`` per component: smallest doc_id, of equal ones the smallest text key. Empty
+    texts are linked with nothing; of those with equal doc_id and text one row stays."""
+
+    rows = _components(docs, params)
+    row = F.struct("doc_id", "text_key")
+    kept = rows.where("component is not null").groupBy("component").agg(F.min(row).alias("row")).select("row")
+    kept = kept.union(rows.where("component is null").select(row.alias("row"))).select("row.*").distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text"))
+    doc_id, text_key = _row_key()
+    same = (doc_id == F.col("kept_id")) & (text_key == F.col("kept_text"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -15,7 +15,7 @@ import sentencepiece
 from mailmine.llm import pieces as V
 from mailmine.llm import secrets as S
 from mailmine.llm.decontaminate import find_contamination
-from mailmine.llm.near_dedup import NearParams, find_near_duplicates, linked, sketch
+from mailmine.llm.near_dedup import NearParams, find_near_duplicates, linked, sketch, without_near_copies
 from mailmine.llm.quality_model import ModelParams, fit_quality, score_quality
 from mailmine.llm.quality_rules import clean_by_rules
 from mailmine.llm.substring_dedup import dedup_substrings
@@ -108,6 +108,23 @@ def test_near_dedup(spark, docs, values):
         check(found, ["doc_id", "n_shingles", "component_id", "kept"], plain.near(docs, size, 80))
 
 
+@pytest.mark.parametrize("values", [4_000_000, 150])
+def test_near_dedup_of_missing_and_shared_ids(spark, values):
+    r = random.Random(8)
+    texts = [" ".join(f"v{r.randrange(900)}" for _ in range(60)) for _ in range(9)]
+    copy = lambda k, n: f"{texts[k]} {' '.join(f'end{n}{x}' for x in range(2))}"
+    # alone without ids; groups without ids; a group with one id; two texts of one id, each with copies
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, copy(2, 1)), (None, texts[3]), (None, copy(3, 1)), (None, copy(3, 2)),
+            (None, texts[4]), (7, copy(4, 1)), (9, texts[5]), (9, texts[6]), (12, copy(5, 1)), (4, copy(6, 1)), (9, texts[7]), (9, copy(7, 1)),
+            (None, texts[0]), (None, None), (None, "")]
+    found = find_near_duplicates(frame(spark, docs), NearParams(group_values=values))
+    check(found, ["doc_id", "n_shingles", "component_id", "kept"], plain.near(docs, 5, 80))
+    kept = [(x["doc_id"], x["text"]) for x in without_near_copies(frame(spark, docs), NearParams(group_values=values)).collect()]
+    groups = [{(None, texts[0])}, {(None, texts[1])}, {(None, texts[2]), (None, copy(2, 1))}, {(None, texts[3]), (None, copy(3, 1)), (None, copy(3, 2))},
+              {(7, copy(4, 1))}, {(9, texts[5])}, {(4, copy(6, 1))}, {(9, texts[7]), (9, copy(7, 1))}, {(None, None)}, {(None, "")}]
+    assert len(kept) == len(groups) and all(sum(x in g for x in kept) == 1 for g in groups)
+
+
 def test_sketch_fills_and_estimates():
     random_ = np.random.default_rng(0)
     a = np.unique(random_.integers(0, 2**63, 900).astype(np.uint64))
