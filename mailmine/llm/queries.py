@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from mailmine.llm import sql
 from mailmine.llm.decontaminate import find_contamination
+from mailmine.llm.html_extract import extract_pages
 from mailmine.llm.near_dedup import NearParams, find_near_duplicates
 from mailmine.llm.pieces import encode_documents
 from mailmine.llm.quality_model import fit_quality, score_quality
 from mailmine.llm.quality_rules import clean_by_rules
+from mailmine.llm.resampling import resample
 from mailmine.llm.secrets import scan_secrets
+from mailmine.llm.spelling import group_spellings
 from mailmine.llm.substring_dedup import dedup_substrings
 from mailmine.llm.suffix_dedup import dedup_suffixes
 from mailmine.llm.token_counts import count_tokens
@@ -116,3 +119,18 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clean_by_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_html_extraction", sql.PAGES)
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op12_importance_resampling", sql.RESAMPLE)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants", sql.SPELLINGS)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))

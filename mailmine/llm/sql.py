@@ -115,3 +115,64 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT (n_words < 10 OR 100 * n_rep > 20 * n_words) AND 100 * left_over >= 50 * n_words AS kept
 FROM f
 """
+
+# these pages hold one article element each, of headings and paragraphs
+PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '[\s\x{00A0}]+', ' ', 'g'), '</?(?:p|h1)>', chr(10), 'g'), '</?(?:b|br)>', '', 'g') AS body FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(body, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS body FROM b),
+t AS (SELECT page_id, url, array_to_string([trim(x) for x in string_split(body, chr(10)) if trim(x) <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+# crc32 of a byte string: a table of steps, then one step per byte
+_CRC = """
+step(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+
+
+def _crc(key: str) -> str:
+    """SQL for the unsigned crc32 of a text, where ``steps`` is joined."""
+
+    hexed = f"hex(encode({key}))"
+    bytes_ = f"[('0x' || substring({hexed}, 2 * i + 1, 2))::BIGINT for i in range(0, length({hexed}) // 2)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(steps.t[xor(c, b) % 256 + 1], c // 256)), 4294967295)"
+
+
+RESAMPLE = f"""
+WITH RECURSIVE {_CRC},
+w AS (SELECT 0 AS side, doc_id AS id, unnest({_ALNUM}) AS word FROM documents
+      UNION ALL SELECT 1, item_id, unnest({_ALNUM}) FROM benchmark),
+v AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), steps),
+n AS (SELECT bucket, sum((side = 0)::INT) AS s, sum((side = 1)::INT) AS t FROM w JOIN v USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM n, sums),
+f AS (SELECT id AS doc_id, count(*) AS n_features, sum(gain) AS gain FROM w JOIN v USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+h AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(floor(gain::DOUBLE / n_features), 0)::BIGINT AS weight,
+             ('0x' || substring(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN f USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+             count(*) OVER (PARTITION BY n_features >= 20) AS total FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * total // 100 THEN place END AS rank FROM r
+"""
+
+SPELLINGS = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, run, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc("doc_id::VARCHAR || ':' || run")} AS h FROM runs, steps),
+written AS (SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.rest = v.word
+          UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.rest = v.word),
+ranked AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM pairs),
+f AS (SELECT v.word, v.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 2 * v.n THEN r.other END AS form, CASE WHEN r.n >= 2 * v.n THEN r.n END AS form_n
+      FROM v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+chain AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL
+          UNION SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(ends.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN ends USING (word)
+"""
