@@ -7,6 +7,7 @@ the smallest row id of a cluster, noise is -1.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,10 @@ from pyspark.sql import functions as F
 
 from mailmine.functions import lexicon as lx
 from mailmine.functions.vectors import l2_normalize, scaled, sum_vector
+from mailmine.operators import balls
+from mailmine.operators.balls import near_blocks, stack
 from mailmine.operators.components import connected_components, number_in_order
-from mailmine.operators.similarity import (
-    collapse_equal,
-    near_blocks,
-    place_in_cells,
-    rank_targets,
-    similarities,
-    stack,
-)
+from mailmine.operators.similarity import chord, collapse_equal, rank_targets, similarities
 from mailmine.session import cut_lineage, scratch_path
 
 METHODS = ("kmeans", "agglomerative", "dbscan")
@@ -81,22 +77,29 @@ def kmeans(vectors: DataFrame, k: int, seed: int = lx.RANDOM_STATE, start: str =
 
 # --- average linkage --------------------------------------------------------------------
 
-def _nearest_groups(state: DataFrame) -> DataFrame:
+def _nearest_groups(state: DataFrame, asking: DataFrame) -> DataFrame:
+    """(id, other, similarity): the nearest other group of each group in ``asking``."""
+
     mean = scaled(F.col("total"), 1 / F.col("size"))
-    rows = state.select("id", F.col("id").alias("own"), mean.alias("mean"))
-    best = rank_targets(rows, rows.select(F.col("id").alias("other"), "mean"), 1, query_id="id", query_vec="mean",
-                        target_id="other", target_vec="mean", skip="own")
+    goals = state.select(F.col("id").alias("other"), mean.alias("mean"))
+    rows = asking.select("id", F.col("id").alias("own"), mean.alias("mean"))
+    best = rank_targets(rows, goals, 1, query_id="id", query_vec="mean", target_id="other", target_vec="mean", skip="own")
     return cut_lineage(best.select("id", "other", "similarity"))
 
 
-def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
+def agglomerative(vectors: DataFrame, k: int, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """Average-linkage clustering by cosine distance, cut at ``k`` clusters. Exact.
 
     For unit vectors the average distance of two groups is one minus the dot product
     of their means, so a group is its vector sum and its size. Every round merges all
-    pairs of groups that are each other's nearest (average linkage allows that), and
-    the recorded heights decide the cut, as in one-by-one merging. Equal vectors
-    merge first, at height zero.
+    pairs of groups that are each other's nearest, the ends of all nearest-neighbour chains at once
+    (average linkage allows that), and the recorded heights decide the cut, as in one-by-one
+    merging. Equal vectors merge first, at height zero.
+
+    Nearest neighbours are kept from round to round: a merged group is never closer to
+    another one than the closer of its parts was, so only new groups and those whose neighbour
+    has merged search again, and a search visits only blocks that can hold the nearest.
+    ``report`` is told the groups of each round and how many of them searched.
     """
 
     rows = vectors.select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"))
@@ -111,9 +114,13 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
     state = cut_lineage(distinct.select("id", F.col("weight").alias("size"), total.alias("total")))
     groups = state.count()
     done = n - groups
+    asking, known = state, None
 
     while groups > 1:
-        nearest = _nearest_groups(state)
+        fresh = _nearest_groups(state, asking)
+        nearest = fresh if known is None else cut_lineage(known.unionByName(fresh))
+        if report:
+            report(groups, fresh.count())
         back = nearest.select(F.col("id").alias("other"), F.col("other").alias("id"))
         height = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("similarity")).alias("height")
         pairs = nearest.join(back, ["id", "other"]).where("id < other")
@@ -134,6 +141,10 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
         moved = state.join(target, "id", "left").withColumn("id", F.coalesce("a", "id")).drop("a")
         sums = sum_vector(F.col("total")).alias("total")
         state = cut_lineage(moved.groupBy("id").agg(F.sum("size").alias("size"), sums))
+        gone = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        known = nearest.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
+        known = cut_lineage(known.select("id", "other", "similarity"))
+        asking = state.join(known.select("id"), "id", "left_anti")
         groups -= found
         done += found
 
@@ -141,7 +152,7 @@ def agglomerative(vectors: DataFrame, k: int) -> DataFrame:
     extra = done - (n - k)  # at most k - 1 merges lie above the cut
     if extra > 0:
         above = tree.orderBy(F.col("height").desc(), F.col("b").desc()).limit(extra).select("a", "b")
-        tree = tree.join(F.broadcast(above), ["a", "b"], "left_anti")
+        tree = tree.join(above, ["a", "b"], "left_anti")
     linked = connected_components(tree.select("a", "b"))
     grouped = rows.select(F.col("id").alias("row_id")).join(
         linked.withColumnRenamed("node", "row_id"), "row_id", "left"
@@ -186,29 +197,31 @@ def dbscan(vectors: DataFrame, eps: float = lx.DBSCAN_EPS, min_samples: int = lx
     """Density clustering by cosine distance. Exact; border rows join the earliest cluster.
 
     Equal vectors count as one with a weight. Degrees, links and borders are three
-    passes over blocks of cells; a pass writes a count, a forest or a minimum per
-    block, never the pairs.
+    passes over the pairs of blocks whose balls come within the radius; a pass writes a
+    count, a forest or a minimum per pair of blocks, never the pairs of rows.
     """
 
     floor = 1.0 - eps
     rows = vectors.select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"))
     distinct = collapse_equal(rows, "id", "vec")
-    cells = cut_lineage(place_in_cells(distinct, floor))
+    tree = balls.plant(distinct)
+    pairs = cut_lineage(balls.meeting(tree, tree, balls.within(chord(floor))))
     floor -= 1e-12
 
-    counted = near_blocks(cells.where("home"), cells, lambda l, r: _count_near(l, r, floor), "id long, near long")
+    counted = near_blocks(tree.rows, tree.rows, pairs, lambda l, r: _count_near(l, r, floor), "id long, near long")
     core = counted.groupBy("id").agg(F.sum("near").alias("near")).where(F.col("near") >= min_samples)
     core = cut_lineage(core.select("id"))
 
-    core_cells = cut_lineage(cells.join(core, "id", "left_semi"))
-    links = near_blocks(core_cells.where("home"), core_cells, lambda l, r: _local_links(l, r, floor), "a long, b long")
+    core_rows = cut_lineage(tree.rows.join(core, "id", "left_semi"))
+    once = pairs.where("lb <= rb")
+    links = near_blocks(core_rows, core_rows, once, lambda l, r: _local_links(l, r, floor), "a long, b long")
     linked = connected_components(links).withColumnRenamed("node", "id")
     cores = core.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     cores = cut_lineage(cores)
 
-    others = cells.where("home").join(core, "id", "left_anti")
-    labelled = core_cells.join(cores, "id")
-    border = near_blocks(others, labelled, lambda l, r: _lowest_core(l, r, floor), "id long, component long")
+    others = tree.rows.join(core, "id", "left_anti")
+    labelled = core_rows.join(cores, "id")
+    border = near_blocks(others, labelled, pairs, lambda l, r: _lowest_core(l, r, floor), "id long, component long")
     border = border.groupBy("id").agg(F.min("component").alias("component"))
     found = cut_lineage(cores.unionByName(border))
 

@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mailmine.functions import lexicon as lx
-from mailmine.functions.vectors import matrix, squared_norm
-from mailmine.operators.similarity import near_blocks, place_in_cells, similarities, stack
+from mailmine.functions.vectors import squared_norm
+from mailmine.operators.balls import meeting, near_blocks, plant, stack, within
+from mailmine.operators.similarity import chord, similarities
 from mailmine.session import cut_lineage
 
-HEAD = 1024  # items decided one after the other in one step
-
-
-def _decide_head(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Positions kept by the rule among a bounded number of items in order."""
-
-    near = similarities(vectors, vectors) >= threshold
-    kept: list[int] = []
-    for i in range(len(vectors)):
-        if not near[i, kept].any():
-            kept.append(i)
-    return kept
-
-
-def _without_near(items: DataFrame, kept: np.ndarray, threshold: float) -> DataFrame:
-    """Narrow filter: items that are near none of the kept vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                free = ~(similarities(matrix(batch.column("vec")), kept) >= threshold).any(axis=1)
-                yield batch.filter(pa.array(free))
-
-    return items.mapInArrow(run, items.schema)
+FIRST = 16   # rows of a block that are candidates in the first round
+FASTER = 4   # times as many in each further one
 
 
 def _hits(l: pd.DataFrame, r: pd.DataFrame, threshold: float, earlier: bool) -> pd.DataFrame:
@@ -51,16 +27,16 @@ def _hits(l: pd.DataFrame, r: pd.DataFrame, threshold: float, earlier: bool) ->
 
 
 def greedy_keep(items: DataFrame, *, id_col: str, priority_col: str, vec_col: str,
-                threshold: float = lx.DUPLICATE_SIMILARITY, head: int = HEAD) -> DataFrame:
+                threshold: float = lx.DUPLICATE_SIMILARITY) -> DataFrame:
     """Ids of the items kept when they are taken by descending priority (ties: ascending id)
     and each is dropped if it is at least ``threshold`` similar to an item already kept.
 
     1. Equal vectors: only the first of them can be kept, so the rest go first.
-    2. Head steps: the first ``head`` undecided items are decided, then one narrow
-       pass drops everything near them. Dense regions vanish in a few steps.
-    3. When head steps stop paying off, rounds over all undecided items: keep what
-       has no earlier undecided neighbour, drop what is near it. Only flags per item
-       are written, never pairs.
+    2. The others are planted in blocks, and only blocks whose balls come within the radius meet.
+    3. Rounds: of each block's undecided items the first few are candidates. A candidate without
+       an earlier undecided neighbour in any block is kept, and what is near it is dropped. Few
+       candidates make dense regions vanish cheaply; their number grows from round to round, so
+       sparse blocks do not take many. Only flags per item are written, never pairs.
     """
 
     source = items.select(
@@ -71,45 +47,22 @@ def greedy_keep(items: DataFrame, *, id_col: str, priority_col: str, vec_col: st
     source = cut_lineage(source.withColumn("norm", squared_norm("vec")))
     blank = F.col("norm") == 0
     # a zero vector resembles nothing, not even itself
-    kept = [source.where(blank).select("id")]
+    kept = source.where(blank).select("id")
     first = F.max(F.struct("priority", (-F.col("id")).alias("minus_id"))).alias("first")
     distinct = source.where(~blank).groupBy("vec").agg(first)
-    open_items = cut_lineage(
-        distinct.select((-F.col("first.minus_id")).alias("id"), F.col("first.priority").alias("priority"), "vec")
-    )
-    left = open_items.count()
-
-    pays = True
-    while left and (pays or left <= head):
-        top = open_items.orderBy(F.col("priority").desc(), "id").limit(head).toPandas()
-        vectors = stack(top["vec"])
-        chosen = _decide_head(vectors, threshold)
-        kept.append(items.sparkSession.createDataFrame([(int(i),) for i in top["id"].iloc[chosen]], "id long"))
-        if left <= head:
-            left = 0
-            break
-        last_priority, last_id = int(top["priority"].iloc[-1]), int(top["id"].iloc[-1])
-        later = open_items.where(
-            (F.col("priority") < last_priority) | ((F.col("priority") == last_priority) & (F.col("id") > last_id))
-        )
-        open_items = cut_lineage(_without_near(later, vectors[chosen], threshold))
-        before, left = left - len(top), open_items.count()
-        pays = left < 0.5 * before
-
-    if left:
-        cells = cut_lineage(place_in_cells(open_items, threshold))
-    while left:
-        blocked = near_blocks(cells.where("home"), cells, lambda l, r: _hits(l, r, threshold, True), "id long")
-        blocked = cut_lineage(blocked.distinct())
-        fresh = cut_lineage(cells.where("home").select("id").join(blocked, "id", "left_anti"))
-        kept.append(fresh)
-        waiting = cells.join(blocked, "id", "left_semi")
-        chosen_cells = cells.join(fresh, "id", "left_semi")
-        dropped = near_blocks(waiting.where("home"), chosen_cells, lambda l, r: _hits(l, r, threshold, False), "id long")
-        cells = cut_lineage(waiting.join(dropped.distinct(), "id", "left_anti"))
-        left = cells.where("home").count()
-
-    out = kept[0]
-    for part in kept[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("id").alias(id_col))
+    distinct = distinct.select((-F.col("first.minus_id")).alias("id"), F.col("first.priority").alias("priority"), "vec")
+    tree = plant(distinct)
+    pairs = cut_lineage(meeting(tree, tree, within(chord(threshold))))
+    # a block never holds more than a leaf may: its order is a small window
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.col("priority").desc(), "id"))
+    undecided, candidates = tree.rows, FIRST
+    while undecided.limit(1).count():
+        heads = cut_lineage(undecided.withColumn("place", place).where(F.col("place") <= candidates).drop("place"))
+        blocked = near_blocks(heads, undecided, pairs, lambda l, r: _hits(l, r, threshold, True), "id long")
+        fresh = cut_lineage(heads.join(blocked.distinct(), "id", "left_anti"))
+        kept = kept.unionByName(fresh.select("id"))
+        waiting = undecided.join(fresh.select("id"), "id", "left_anti")
+        dropped = near_blocks(waiting, fresh, pairs, lambda l, r: _hits(l, r, threshold, False), "id long")
+        undecided = cut_lineage(waiting.join(dropped.distinct(), "id", "left_anti"))
+        candidates *= FASTER
+    return kept.select(F.col("id").alias(id_col))

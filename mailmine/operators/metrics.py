@@ -6,6 +6,8 @@ the vector sum of each cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 
 from mailmine.functions.text import add_readability, strip
 from mailmine.functions.vectors import distance, dot, l2_normalize, scaled, squared_norm, sum_vector
+from mailmine.operators.balls import closest, meeting, near_blocks, plant, stack, wide_and_close
 from mailmine.operators.cluster import cluster_sums, without_noise
-from mailmine.operators.similarity import against_all, rank_targets, stack
+from mailmine.operators.similarity import rank_targets
 from mailmine.session import cut_lineage
 
 
@@ -26,19 +29,20 @@ def _means(members: DataFrame) -> DataFrame:
     return cut_lineage(cluster_sums(members).select("cluster_id", "size", mean.alias("mean")))
 
 
-def silhouette(members: DataFrame) -> DataFrame:
+def silhouette(members: DataFrame, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """One row ``silhouette_score``: mean cosine silhouette of ``members(row_id, cluster_id, embedding)``.
 
     Null with fewer than two clusters, fewer than three rows, or as many clusters as rows.
     The mean distance of a row to a cluster is one minus its dot product with the
-    cluster's mean, so the nearest other cluster is a nearest-target search.
+    cluster's mean, so the nearest other cluster is a nearest-target search, which visits
+    only blocks of means that can be nearest; ``report`` as there.
     """
 
     unit = without_noise(members).select("row_id", "cluster_id", l2_normalize("embedding").alias("embedding"))
     means = _means(unit)
     others = means.select(F.col("cluster_id").alias("other"), F.col("mean").alias("other_mean"))
     nearest = rank_targets(unit, others, 1, query_id="row_id", query_vec="embedding", target_id="other",
-                           target_vec="other_mean", keep=("cluster_id", "embedding"), skip="cluster_id")
+                           target_vec="other_mean", keep=("cluster_id", "embedding"), skip="cluster_id", report=report)
     rows = nearest.join(means, "cluster_id").select(
         "cluster_id", "size", "similarity", dot("embedding", "mean").alias("own"), squared_norm("embedding").alias("norm")
     )
@@ -57,28 +61,42 @@ def silhouette(members: DataFrame) -> DataFrame:
 def _worst_ratio(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
     """Per cluster: the largest (spread + other spread) / distance of the two means."""
 
-    here, there = stack(l["mean"]), stack(r["other_mean"])
+    here, there = stack(l["mean"]), stack(r["mean"])
     squares = (here**2).sum(axis=1)[:, None] + (there**2).sum(axis=1)[None, :] - 2.0 * here @ there.T
     apart = np.sqrt(np.maximum(squares, 0.0))
-    apart[l["cluster_id"].to_numpy()[:, None] == r["other"].to_numpy()[None, :]] = np.inf
+    apart[l["cluster_id"].to_numpy()[:, None] == r["cluster_id"].to_numpy()[None, :]] = np.inf
     apart[apart < 1e-12] = np.inf
-    ratio = (l["spread"].to_numpy()[:, None] + r["other_spread"].to_numpy()[None, :]) / apart
+    ratio = (l["spread"].to_numpy()[:, None] + r["spread"].to_numpy()[None, :]) / apart
     return pd.DataFrame({"cluster_id": l["cluster_id"].to_numpy(), "ratio": ratio.max(axis=1)})
 
 
-def davies_bouldin(members: DataFrame) -> DataFrame:
-    """One row ``davies_bouldin_score`` (Euclidean, plain means); null with fewer than two clusters."""
+def davies_bouldin(members: DataFrame, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """One row ``davies_bouldin_score`` (Euclidean, plain means); null with fewer than two clusters.
+
+    Means are planted as a ball tree. A block of means meets itself and the closest blocks first; what
+    it finds is the floor for all others, which are visited only if their spreads and distance can
+    beat it. ``report`` is told how many pairs of blocks there are, and how many were visited.
+    """
 
     means = _means(members)
     rows = without_noise(members).join(means, "cluster_id")
     gaps = rows.select("cluster_id", distance("embedding", "mean").alias("gap"))
     spread = gaps.groupBy("cluster_id").agg(F.avg("gap").alias("spread"))
-    stats = spread.join(means.select("cluster_id", "mean"), "cluster_id")
-    others = stats.select(
-        F.col("cluster_id").alias("other"), F.col("spread").alias("other_spread"), F.col("mean").alias("other_mean")
-    )
-    worst = against_all(stats, others, _worst_ratio, "cluster_id long, ratio double", id_col="cluster_id", other_id="other")
-    worst = worst.groupBy("cluster_id").agg(F.max("ratio").alias("ratio"))
+    tree = plant(spread.join(means.select("cluster_id", "mean"), "cluster_id"), "cluster_id", "mean")
+    out = "cluster_id long, ratio double"
+
+    def worst_of(df: DataFrame) -> DataFrame:
+        return df.groupBy("cluster_id").agg(F.max("ratio").alias("ratio"))
+
+    own = tree.leaves.select(F.col("block").alias("lb"), F.col("block").alias("rb"))
+    guessed = cut_lineage(closest(tree, tree, 2).unionByName(own).distinct())
+    worst = cut_lineage(worst_of(near_blocks(tree.rows, tree.rows, guessed, _worst_ratio, out)))
+    bounds = tree.rows.join(worst, "cluster_id").groupBy("block").agg(F.min("ratio").alias("floor"), F.max("spread").alias("spread"))
+    bounded = replace(tree, leaves=cut_lineage(tree.leaves.join(bounds, "block")))
+    rest = cut_lineage(meeting(bounded, bounded, wide_and_close()).join(guessed, ["lb", "rb"], "left_anti"))
+    if report:
+        report(tree.leaves.count() ** 2, guessed.count() + rest.count())
+    worst = worst_of(worst.unionByName(near_blocks(tree.rows, tree.rows, rest, _worst_ratio, out)))
     return worst.agg(
         F.when(F.count("*") >= 2, F.avg("ratio")).alias("davies_bouldin_score")
     )

@@ -1,19 +1,16 @@
 """Exact similarity search between vector tables.
 
-Two ways of comparing vectors, both exact and both with bounded tasks:
-
-* ``rank_targets`` - each query against every target, keeping the best ``k``. A
-  target side of checked size is broadcast as a matrix; a larger one is cut into
-  blocks that meet blocks of queries by an equi-join on the block numbers.
-* ``near_blocks`` - all pairs within a radius. Vectors are placed in cells around
-  pivots, and copied to those neighbour cells that could hold a partner; cells are
-  cut into blocks, and a kernel reduces each pair of blocks, so that no list of
-  pairs is ever written.
+``rank_targets`` compares each query with the targets that can be among its best ``k``. Up to one
+block of targets (balls.BLOCK rows) is handed to every task and queries pass by it. More targets
+are planted as a ball tree, and so are the queries: a first pass compares each block of
+queries with the few most promising blocks of targets, which sets a floor per query; a second one
+visits only those blocks whose bound reaches the floor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -24,20 +21,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mailmine.functions.vectors import SIM_DIGITS, matrix
+from mailmine.operators import balls
+from mailmine.operators.balls import stack
 from mailmine.session import cut_lineage
 
-BROADCAST_BYTES = 32 * 1024 * 1024  # largest matrix sent to every executor
-QUERY_BLOCK = 8192
-TARGET_BLOCK = 65536
 STRIP = 4096  # targets compared at a time inside a task
-
-PAIR_BLOCK = 2048  # rows on each side of a block pair
-ROWS_PER_PIVOT = 512
-MAX_PIVOTS = 1024
-
-
-def stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+GUESSES = 4   # blocks of targets that the first pass visits for each block of queries
 
 
 def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -85,30 +74,29 @@ def _positions(ids: list, wanted: list) -> np.ndarray:
 
 def rank_targets(queries: DataFrame, targets: DataFrame, k: int, *, query_id: str, query_vec: str,
                  target_id: str, target_vec: str, keep: tuple[str, ...] = (), skip: str | None = None,
-                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                 report: Callable[[int, int], None] | None = None) -> DataFrame:
     """The ``k`` most similar targets of every query: query id, kept columns, target id, similarity, rank.
 
     Ties go to the smaller target id. ``skip`` names a query column with the id of
-    a target to leave out (its own row, its own cluster). Target ids are unique.
+    a target to leave out (its own row, its own cluster). Target ids are unique. ``report`` is
+    told how many pairs of blocks there are, and how many were visited.
     """
 
     names = list(dict.fromkeys([query_id, *keep, *([skip] if skip else [])]))
     queries = queries.select(*names, F.col(query_vec).alias("__vec"))
-    targets = targets.select(F.col(target_id).alias("__tid"), F.col(target_vec).alias("__tvec"))
-    id_type = targets.schema["__tid"].dataType
+    targets = cut_lineage(targets.select(F.col(target_id).alias("__tid"), F.col(target_vec).alias("__tvec")))
     kept = [f for f in queries.schema.fields if f.name in (query_id, *keep)]
-    schema = T.StructType([*kept, T.StructField(target_id, id_type), T.StructField("similarity", T.DoubleType()),
+    schema = T.StructType([*kept, T.StructField(target_id, targets.schema["__tid"].dataType), T.StructField("similarity", T.DoubleType()),
                            T.StructField("rank", T.IntegerType())])
 
-    probe = targets.select(F.size("__tvec").alias("d")).first()
-    if probe is None:
+    n_targets = targets.count()
+    if not n_targets:
         return queries.sparkSession.createDataFrame([], schema)
-    most = max(1, broadcast_bytes // (8 * max(1, probe["d"])))
-    found = targets.limit(most + 1).toPandas()
-    if len(found) > most:
-        return _rank_blocked(queries, targets, k, query_id, target_id, skip, schema)
-
-    found = found.sort_values("__tid", ignore_index=True)
+    if n_targets > balls.BLOCK:
+        return _rank_by_balls(queries, targets, k, skip, target_id, schema, report)
+    if report:
+        report(1, 1)
+    found = targets.toPandas().sort_values("__tid", ignore_index=True)  # one block
     tids, goal = list(found["__tid"]), stack(found["__tvec"])
     id_values = pa.Array.from_pandas(found["__tid"])
     kept_names = [f.name for f in kept]
@@ -131,64 +119,61 @@ def rank_targets(queries: DataFrame, targets: DataFrame, k: int, *, query_id: st
     return queries.mapInArrow(rank, schema)
 
 
-def _rank_blocked(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str,
-                  skip: str | None, schema: T.StructType) -> DataFrame:
-    """``rank_targets`` for a target side too large to broadcast."""
-
-    n_targets, n_queries = targets.count(), queries.count()
-    t_blocks = -(-n_targets // TARGET_BLOCK)
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    left = queries.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int")).withColumn(
-        "__tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
-    )
-    right = targets.withColumn("__tb", F.pmod(F.xxhash64("__tid"), F.lit(t_blocks)).cast("int")).withColumn(
-        "__qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    names = schema.names
+def _compare(k: int, skip: str | None):
+    """Kernel: the best ``k`` targets of a block for the queries of a block that can still gain from it."""
 
-    def rank(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({n: [] for n in names})
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("__tid", ignore_index=True)
+        here, there = stack(q["__vec"]), stack(t["__tvec"])
+        if "floor" in q:
+            centre = there.mean(axis=0)
+            radius = np.sqrt(((there - centre) ** 2).sum(axis=1).max())
+            floor = q["floor"].to_numpy()
+            may = here @ centre + np.linalg.norm(here, axis=1) * radius + balls.SLACK >= floor
+            q, here, floor = q[may], here[may], floor[may]
+        if not len(q):
+            return pd.DataFrame({"__q": [], "__tid": [], "similarity": []})
         hide = _positions(list(t["__tid"]), list(q[skip])) if skip else None
-        pos, sim = _top(stack(q["__vec"]), stack(t["__tvec"]), k, hide)
-        rows, cols = np.nonzero(np.isfinite(sim))
-        out = q[[n for n in names if n in q.columns]].iloc[rows].reset_index(drop=True)
-        out[target_id] = t["__tid"].to_numpy()[pos[rows, cols]]
-        out["similarity"] = sim[rows, cols]
-        out["rank"] = (cols + 1).astype(np.int32)
-        return out[names]
-
-    partial = left.groupBy("__qb", "__tb").cogroup(right.groupBy("__qb", "__tb")).applyInPandas(rank, schema)
-    order = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(target_id).asc())
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def against_all(rows: DataFrame, others: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                schema: str, *, id_col: str, other_id: str, block: int = QUERY_BLOCK) -> DataFrame:
-    """Run ``kernel`` on blocks of rows and blocks of others, every row meeting every other.
+        pos, sim = _top(here, there, k, hide)
+        good = np.isfinite(sim)
+        if "floor" in q:
+            good &= sim >= floor[:, None]
+        rows, cols = np.nonzero(good)
+        return pd.DataFrame({"__q": q["__q"].to_numpy()[rows], "__tid": t["__tid"].to_numpy()[pos[rows, cols]], "similarity": sim[rows, cols]})
+
+    return run
+
+
+def _rank_by_balls(queries: DataFrame, targets: DataFrame, k: int, skip: str | None, target_id: str, schema: T.StructType,
+                   report: Callable[[int, int], None] | None) -> DataFrame:
+    """``rank_targets`` for more targets than one block holds."""
+
+    numbered = cut_lineage(queries.withColumn("__q", F.monotonically_increasing_id()))
+    own = list(dict.fromkeys(["__q", *([skip] if skip else []), "__vec"]))
+    q_tree = balls.plant(numbered.select(*own), "__q", "__vec")
+    t_tree = balls.plant(targets, "__tid", "__tvec")
+    found = f"__q long, __tid {targets.schema['__tid'].dataType.simpleString()}, similarity double"
+    best = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), "__tid")
+
+    def top(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    guessed = balls.closest(q_tree, t_tree, GUESSES)
+    first = cut_lineage(top(balls.near_blocks(q_tree.rows, t_tree.rows, guessed, _compare(k, skip), found)))
+    # a query that has met k targets needs no worse ones; the others may still need any
+    floors = first.where(F.col("rank") == k).select("__q", F.col("similarity").alias("floor"))
+    rows = cut_lineage(q_tree.rows.join(floors, "__q", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))))
+    lowest = rows.groupBy("block").agg(F.min("floor").alias("floor"))
+    leaves = cut_lineage(q_tree.leaves.join(lowest, "block"))
+    may = balls.meeting(replace(q_tree, rows=rows, leaves=leaves), t_tree, balls.above_floor())
+    rest = cut_lineage(may.join(guessed, ["lb", "rb"], "left_anti"))
+    if report:
+        report(q_tree.leaves.count() * t_tree.leaves.count(), guessed.count() + rest.count())
+    second = balls.near_blocks(rows, t_tree.rows, rest, _compare(k, skip), found)
+    ranked = top(first.drop("rank").unionByName(second)).withColumnRenamed("__tid", target_id)
+    kept = [n for n in schema.names if n not in (target_id, "similarity", "rank")]
+    return numbered.select("__q", *kept).join(ranked, "__q").select(*schema.names)
 
-    The kernel reduces (one output row per row); the caller reduces over the blocks.
-    """
-
-    row_blocks, other_blocks = max(1, -(-rows.count() // block)), max(1, -(-others.count() // block))
-    left = rows.withColumn("__rb", F.pmod(F.xxhash64(id_col), F.lit(row_blocks)).cast("int")).withColumn(
-        "__ob", F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-    )
-    right = others.withColumn("__ob", F.pmod(F.xxhash64(other_id), F.lit(other_blocks)).cast("int")).withColumn(
-        "__rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
-    )
-    names = [part.strip().split()[0] for part in schema.split(",")]
-
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if l.empty or r.empty:
-            return pd.DataFrame({n: [] for n in names})
-        return kernel(l, r)
-
-    return left.groupBy("__rb", "__ob").cogroup(right.groupBy("__rb", "__ob")).applyInPandas(run, schema)
-
-
-# --- pairs within a radius -----------------------------------------------------------
 
 def chord(similarity: float) -> float:
     """Distance of two unit vectors with the given cosine."""
@@ -196,88 +181,6 @@ def chord(similarity: float) -> float:
     return float(np.sqrt(max(0.0, 2.0 - 2.0 * similarity)))
 
 
-def place_in_cells(vectors: DataFrame, similarity: float, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """Copy each unit vector to every cell that may hold a partner of at least ``similarity``.
-
-    Adds ``cell`` and ``home`` (true for the one cell of the nearest pivot). If x
-    lives in cell i and y in cell j, and both are within the radius, then y is no
-    farther from the plane between the two pivots than the radius; so y is copied
-    to cell i exactly when that distance allows it, and no pair is missed. The
-    pivots are the rows with the smallest hash of their id: their number is bounded.
-    """
-
-    rows = vectors.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, rows // ROWS_PER_PIVOT)))
-    chosen = vectors.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).select(vec_col).toPandas()
-    pivots = np.unique(stack(chosen[vec_col]), axis=0) if len(chosen) else np.zeros((1, 1))
-    reach = chord(similarity) + 1e-6
-    apart = np.sqrt(np.maximum(0.0, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)))
-    norms = (pivots**2).sum(axis=1)
-    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()),
-                           T.StructField("home", T.BooleanType())])
-
-    names = vectors.columns
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # squared distance to every pivot, less the vector's own square
-            near = norms[None, :] - 2.0 * (matrix(batch.column(vec_col)) @ pivots.T)
-            home = near.argmin(axis=1)
-            beyond = (near - near[np.arange(len(home)), home][:, None]) / 2.0
-            rows_, cells = np.nonzero(beyond <= reach * apart[home] + 1e-9)
-            columns = [batch.column(n).take(pa.array(rows_)) for n in names]
-            columns += [pa.array(cells.astype(np.int32)), pa.array(cells == home[rows_])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "cell", "home"])
-
-    return vectors.mapInArrow(place, schema)
-
-
-def near_blocks(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                schema: str, id_col: str = "id", block: int = PAIR_BLOCK) -> DataFrame:
-    """Run ``kernel`` on every pair of blocks of the same cell.
-
-    Both sides carry ``cell``. A cell with many rows is cut into blocks by a hash
-    of the id, so one hot cell becomes many small tasks.
-    """
-
-    sizes = (
-        left.groupBy("cell").agg(F.count("*").alias("n_left"))
-        .join(right.groupBy("cell").agg(F.count("*").alias("n_right")), "cell")
-        .select(
-            "cell",
-            F.ceil(F.col("n_left") / block).cast("int").alias("l_blocks"),
-            F.ceil(F.col("n_right") / block).cast("int").alias("r_blocks"),
-        )
-    )
-    sizes = F.broadcast(sizes)  # one row per cell, at most MAX_PIVOTS
-    # both sides often come from one table: give each its own columns
-    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
-    slot = F.xxhash64(id_col)
-    cut_left = (
-        left.join(sizes, "cell")
-        .withColumn("lb", F.pmod(slot, F.col("l_blocks")).cast("int"))
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)))
-        .drop("l_blocks", "r_blocks")
-    )
-    cut_right = (
-        right.join(sizes, "cell")
-        .withColumn("rb", F.pmod(slot, F.col("r_blocks")).cast("int"))
-        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("l_blocks") - 1)))
-        .drop("l_blocks", "r_blocks")
-    )
-    names = [part.strip().split()[0] for part in schema.split(",")]
-
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if l.empty or r.empty:
-            return pd.DataFrame({n: [] for n in names})
-        return kernel(l, r)
-
-    keys = ["cell", "lb", "rb"]
-    return cut_left.groupBy(*keys).cogroup(cut_right.groupBy(*keys)).applyInPandas(run, schema)
-
-
 def collapse_equal(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """One row per distinct vector: its smallest id, and how many rows share it.
 

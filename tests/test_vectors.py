@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mailmine.operators import balls as bl
 from mailmine.operators import cluster as cl
+from mailmine.operators import dedup as de
 from mailmine.operators import metrics as me
 from mailmine.operators import similarity as sm
 from mailmine.operators.components import connected_components, number_in_order
@@ -33,32 +35,70 @@ def sims(v):
     return np.round(np.clip(v @ v.T, -1, 1), 9)
 
 
-@pytest.mark.parametrize("budget", [sm.BROADCAST_BYTES, 64])
-def test_top_k_by_broadcast_and_by_blocks(spark, budget, monkeypatch):
-    monkeypatch.setattr(sm, "QUERY_BLOCK", 40)
-    monkeypatch.setattr(sm, "TARGET_BLOCK", 30)
+@pytest.mark.parametrize("block, scaled", [(1024, False), (1024, True), (30, True)])
+def test_top_k_in_one_block_and_by_balls(spark, block, scaled, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", block)
+    monkeypatch.setattr(bl, "FAN", 4)
     v = blobs(6, 20, 0.3)
     v[7] = v[3]  # a tie
+    goal = v * np.linspace(0.2, 1.0, len(v))[:, None].astype(np.float32) if scaled else v
     df = frame(spark, v)
-    out = sm.rank_targets(df, df.withColumnRenamed("row_id", "other"), 4, query_id="row_id", query_vec="embedding",
-                          target_id="other", target_vec="embedding", skip="row_id", broadcast_bytes=budget)
+    out = sm.rank_targets(df, frame(spark, goal, "other long, embedding array<float>"), 4, query_id="row_id", query_vec="embedding",
+                          target_id="other", target_vec="embedding", skip="row_id")
     have = {(r["row_id"], r["rank"]): r["other"] for r in out.collect()}
-    s = sims(v)
+    s = np.round(np.clip(v.astype(np.float64) @ goal.astype(np.float64).T, -1, 1), 9)
     np.fill_diagonal(s, -9)
     order = np.argsort(-s, axis=1, kind="stable")[:, :4]
     assert have == {(i, k + 1): int(order[i, k]) for i in range(len(v)) for k in range(4)}
 
 
-def test_cells_and_blocks_see_every_near_pair(spark, monkeypatch):
-    monkeypatch.setattr(sm, "ROWS_PER_PIVOT", 20)
-    monkeypatch.setattr(sm, "PAIR_BLOCK", 16)
-    v = blobs(8, 30, 0.25)
+def test_top_k_asks_for_more_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", 8)
+    v = blobs(3, 10, 0.3)
+    df = frame(spark, v).withColumn("kind", F.col("row_id") % 2)
+    out = sm.rank_targets(df, df.withColumnRenamed("row_id", "other"), 100, query_id="row_id", query_vec="embedding",
+                          target_id="other", target_vec="embedding", keep=("kind",))
+    assert out.count() == 900 and out.columns == ["row_id", "kind", "other", "similarity", "rank"]
+    empty = sm.rank_targets(df, df.limit(0).withColumnRenamed("row_id", "other"), 3, query_id="row_id", query_vec="embedding",
+                            target_id="other", target_vec="embedding")
+    assert empty.count() == 0
+
+
+def test_top_k_visits_few_blocks_of_planted_groups(spark, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", 40)
+    df = frame(spark, blobs(40, 30, 0.02, dim=16))
+    seen = []
+    sm.rank_targets(df, df.withColumnRenamed("row_id", "other"), 5, query_id="row_id", query_vec="embedding",
+                    target_id="other", target_vec="embedding", report=lambda *n: seen.append(n))
+    (there, visited), = seen
+    assert there > 1_200 and visited < 0.25 * there
+
+
+def test_tree_holds_every_row_in_small_balls(spark, monkeypatch):
+    v = np.vstack([blobs(5, 40, 0.2), np.repeat(blobs(1, 1, 0.1), 100, axis=0)])   # with more equal rows than a leaf holds
+    tree = bl.plant(frame(spark, v, "id long, vec array<float>"), block=16, fan=3)
+    assert sorted(r["id"] for r in tree.rows.collect()) == list(range(len(v)))
+    ball = {r["block"]: (np.array(r["centre"]), r["radius"], r["size"]) for r in tree.leaves.collect()}
+    assert max(size for *_, size in ball.values()) <= 16 and tree.depth >= 2
+    rows = [(r["block"], np.array(r["vec"])) for r in tree.rows.collect()]
+    assert all(np.linalg.norm(x - ball[b][0]) <= ball[b][1] + 1e-6 for b, x in rows)
+    for d in range(tree.depth + 1):
+        nodes = {r["node"]: (np.array(r["centre"]), r["radius"]) for r in tree.level(d).collect()}
+        for b, x in rows:
+            c, radius = nodes[".".join(b.split(".")[:d + 1])]
+            assert np.linalg.norm(x - c) <= radius + 1e-6
+
+
+def test_blocks_see_every_near_pair_and_skip_the_rest(spark, monkeypatch):
+    v = blobs(40, 30, 0.03, dim=16)
     df = frame(spark, v, "id long, vec array<float>").withColumn("weight", F.lit(1))
-    cells = sm.place_in_cells(df, 0.8)
-    assert cells.where("home").count() == len(v) and cells.select("cell").distinct().count() > 3
-    out = sm.near_blocks(cells.where("home"), cells, lambda l, r: cl._count_near(l, r, 0.8), "id long, near long", block=16)
+    tree = bl.plant(df, block=32)
+    pairs = bl.meeting(tree, tree, bl.within(sm.chord(0.9)))
+    out = bl.near_blocks(tree.rows, tree.rows, pairs, lambda l, r: cl._count_near(l, r, 0.9), "id long, near long")
     have = {r["id"]: r["near"] for r in out.groupBy("id").agg(F.sum("near").alias("near")).collect()}
-    assert have == dict(enumerate((sims(v) >= 0.8).sum(axis=1).tolist()))
+    assert have == dict(enumerate((sims(v) >= 0.9).sum(axis=1).tolist()))
+    blocks = tree.leaves.count()
+    assert blocks >= 38 and pairs.count() < 0.1 * blocks**2
 
 
 def brute_greedy(v, priority, threshold):
@@ -69,15 +109,16 @@ def brute_greedy(v, priority, threshold):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("head", [1024, 5])
-def test_greedy_removal(spark, head, monkeypatch):
-    monkeypatch.setattr(sm, "ROWS_PER_PIVOT", 30)
+@pytest.mark.parametrize("block, first", [(1024, 16), (20, 2)])
+def test_greedy_removal(spark, block, first, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", block)
+    monkeypatch.setattr(de, "FIRST", first)
     rng = np.random.default_rng(1)
     v = np.vstack([blobs(12, 12, 0.35), np.repeat(blobs(1, 1, 0.1), 60, axis=0), unit(rng.normal(size=(60, 8)))])
     priority = rng.integers(0, 5, len(v)).tolist()
     rows = [(i, priority[i], [float(x) for x in v[i]]) for i in range(len(v))]
     df = spark.createDataFrame(rows, "id long, p long, v array<float>").repartition(4)
-    kept = greedy_keep(df, id_col="id", priority_col="p", vec_col="v", threshold=0.9, head=head)
+    kept = greedy_keep(df, id_col="id", priority_col="p", vec_col="v", threshold=0.9)
     assert sorted(r["id"] for r in kept.collect()) == brute_greedy(v, priority, 0.9)
 
 
@@ -111,7 +152,7 @@ def brute_dbscan(v, eps, least):
 
 
 def test_dbscan_equals_sequential_scan(spark, monkeypatch):
-    monkeypatch.setattr(sm, "ROWS_PER_PIVOT", 25)
+    monkeypatch.setattr(bl, "BLOCK", 25)
     rng = np.random.default_rng(9)
     v = np.vstack([blobs(5, 25, 0.3, dim=4), unit(rng.normal(size=(40, 4)))])
     v[10:14] = v[3]  # equal vectors
@@ -145,6 +186,37 @@ def test_average_linkage_equals_one_by_one_merging(spark):
     assert [min(groups[c]) for c in sorted(groups)] == sorted(min(g) for g in groups.values())
 
 
+def test_average_linkage_searches_only_where_neighbours_merged(spark):
+    angle = 0.01 * 1.4 ** np.arange(12)   # each point is nearest to the one before: one merge a round
+    v = unit(np.c_[np.cos(angle), np.sin(angle)])
+    seen = []
+    out = cl.agglomerative(frame(spark, v), 3, report=lambda groups, asked: seen.append((groups, asked))).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["cluster_id"], []).append(r["row_id"])
+    assert sorted(sorted(g) for g in groups.values()) == brute_average_linkage(v, 3)
+    assert seen[0] == (12, 12) and sum(asked for _, asked in seen) < 0.6 * sum(there for there, _ in seen)
+
+
+def test_metrics_of_many_clusters_visit_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    towns = np.repeat(unit(rng.normal(size=(30, 12))), 20, axis=0)
+    centers = towns + rng.normal(scale=0.02, size=towns.shape)      # 600 clusters in 30 far groups
+    v = unit(np.repeat(centers, 2, axis=0) + rng.normal(scale=0.004, size=(1_200, 12)))
+    members = frame(spark, v).withColumn("cluster_id", F.floor(F.col("row_id") / 2))
+    parts = v.reshape(600, 2, 12).astype(np.float64)
+    means = parts.mean(axis=1)
+    spread = np.linalg.norm(parts - means[:, None], axis=2).mean(axis=1)
+    apart = np.sqrt(np.maximum(0, ((means[:, None] - means[None]) ** 2).sum(axis=2)))
+    np.fill_diagonal(apart, np.inf)
+    seen = []
+    have = me.davies_bouldin(members, report=lambda *n: seen.append(n)).first()[0]
+    assert have == pytest.approx(((spread[:, None] + spread[None]) / apart).max(axis=1).mean())
+    assert me.silhouette(members, report=lambda *n: seen.append(n)).first()[0] > 0.5
+    assert all(visited < 0.3 * there for there, visited in seen), seen
+
+
 def two_blobs(n):
     rng = np.random.default_rng(7)
     return unit(np.vstack([rng.normal(1, 0.05, (n, 8)), rng.normal(-1, 0.05, (n, 8))]))
