@@ -660,10 +660,10 @@ def match_annotated(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "training_pairs",
     f"WITH {m.MEMBERS_CTE}, drawn AS (SELECT cluster_id AS label_id, row_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('13:' || row_id), row_id) "
-    "AS place FROM members QUALIFY place <= 100), paired AS (SELECT a.label_id, a.row_id AS anchor_id, b.row_id AS positive_id FROM drawn a JOIN drawn b "
+    "AS place FROM members), paired AS (SELECT a.label_id, a.row_id AS anchor_id, b.row_id AS positive_id FROM drawn a JOIN drawn b "
     "ON a.label_id = b.label_id AND b.place = a.place + 1 WHERE a.place % 2 = 1) SELECT p.*, x.combined_text AS anchor, y.combined_text AS positive "
     "FROM paired p JOIN members x ON x.row_id = anchor_id JOIN members y ON y.row_id = positive_id",
 )
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut_lineage(desk_rows(spark, sf).select("row_id", "combined_text", "desk"))
-    return pr.require_pairs(pr.training_pairs(cut_lineage(pr.encode_labels(rows, "desk")), max_per_class=None))
+    return pr.require_pairs(pr.training_pairs(cut_lineage(pr.encode_labels(rows, "desk"))))

@@ -13,10 +13,10 @@ from mailmine.catalog.tables import mails, raw_mails, read
 from mailmine.functions import lexicon as lx
 from mailmine.operators import cluster as cl
 from mailmine.operators import encode as en
-from mailmine.operators import match as mt
 from mailmine.operators import pairs as pr
+from mailmine.operators import templates as tp
 from mailmine.operators.prepare import add_texts
-from mailmine.plans import mining, training
+from mailmine.plans import mining, runs, training
 from mailmine.session import cut_lineage, scratch_path
 from mailmine.sources import landing, sinks
 from mailmine.sources.mails import load_csv
@@ -119,6 +119,24 @@ def mine_documents(spark: SparkSession, sf: str) -> DataFrame:
     return mq.shown(mining.mine(docs, mining.MiningParams(method="dbscan")).templates)
 
 
+@query("run_reload", f"WITH RECURSIVE {m.DEDUPED_CTE} SELECT *, (SELECT count(*) FROM members) AS n_emails, 2::BIGINT AS runs FROM ({m.template_rows('mined')})")
+def run_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs are stored, a third is broken off; the latest finished one is read back."""
+
+    folder = scratch_path(spark, "runs")
+    members = mq.desk_members(spark, sf)
+    report = members.agg(F.count("*").alias("n_emails"))
+    mined = cut_lineage(tp.generate_templates(members))
+    placed = members.select("row_id", "cluster_id")
+    mining.MiningRun("first", placed, mined.limit(1), report).save(folder)
+    mining.MiningRun("second", placed, mined, report).save(folder)
+    runs.write_tables(folder, "third", {"templates": mined.limit(2), "evaluation": report})
+    run = mining.load_run(spark, folder)
+    assert run.run_id == "second"
+    n_emails = run.evaluation.first()["n_emails"]
+    return mq.shown(run.templates).withColumns({"n_emails": F.lit(n_emails), "runs": F.lit(runs.list_runs(spark, folder).count()).cast("bigint")})
+
+
 # --- sources and sinks ---------------------------------------------------------------------
 
 def _written_csv(spark: SparkSession, sf: str) -> str:
@@ -136,7 +154,7 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
 _DELIVERED = (
     f"WITH {d.CLEANED_CTE} SELECT 'mails' AS delivery, {d.lit(','.join(lx.REQUIRED_COLUMNS + lx.OPTIONAL_COLUMNS))} AS columns, CAST(NULL AS VARCHAR) AS error, count(*) AS rows FROM cleaned "
     "UNION ALL SELECT 'documents', NULL, 'unreadable: ' || "
-    + d.lit("Missing required columns: ['email_id', 'subject', 'body']. Found columns: ['doc_id', 'lang']")
+    + d.lit("columns email_id, subject, body are not there, only doc_id, lang")
     + f", NULL UNION ALL SELECT 'notes', NULL, {d.lit(landing.NOT_CSV)}, NULL"
 )
 
@@ -203,10 +221,9 @@ def _mail_stream(spark: SparkSession, sf: str) -> DataFrame:
 def stream_match(spark: SparkSession, sf: str) -> DataFrame:
     """The mails matched as a stream; equal to the batch match."""
 
-    targets = mt.encode_templates(mq.mined_templates(spark, sf))
     out = scratch_path(spark, "matched")
-    matched = st.match_stream(_mail_stream(spark, sf), targets, top_k=3)
-    st.write_stream(matched, out, scratch_path(spark, "match_state")).awaitTermination()
+    matched = st.match_stream(_mail_stream(spark, sf), mq.mined_templates(spark, sf), out, scratch_path(spark, "match_state"), top_k=3)
+    matched.awaitTermination()
     found = spark.read.parquet(out)
     return found.select("row_id", "cluster_id", F.round("similarity", 6).alias("similarity"), "rank")
 

@@ -173,7 +173,6 @@ DBSCAN_EPS = 0.35
 DBSCAN_MIN_SAMPLES = 5
 RANDOM_STATE = 42
 MIN_CLUSTERS, MAX_CLUSTERS = 4, 20
-PAIRS_PER_CLASS = 100
 PAIR_RANGE_ROWS = 4096
 PAIR_SEED = 13
 EMBED_DIM = 64

@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from mailmine.functions.vectors import distance, dot, scaled, squared_norm, sum_vector
 from mailmine.session import cut_lineage
 
-BLOCK = 1024      # rows of a leaf at most
-FAN = 32          # children of a node at most
+BLOCK = 4096      # rows of a leaf at most
+FAN = 32          # children of a node at most; a node gets about two for each leaf its rows would fill
 SAMPLED = 4       # sampled rows for each child
+TOGETHER = 4096   # rows of partner blocks that meet a block in one task
 SALT_ROWS = 8192  # rows of a large node that one task splits
 DEPTH = 12        # beyond it rows are too alike to be told apart by centres
 SLACK = 1e-6      # for rounding in centres and radii
@@ -93,14 +94,15 @@ def _split(rows: DataFrame, large: DataFrame, id_col: str, vec_col: str, block:
     if depth > DEPTH:
         parts = F.ceil(2 * F.col("size") / block).cast("bigint")
         return sized.withColumn("block", F.concat_ws(".", "block", F.pmod(slot, parts))).select(*names)
-    chosen = sized.where(slot * F.col("size") < SAMPLED * fan * (1 << 30))
+    children = F.least(F.lit(fan), F.ceil(2 * F.col("size") / block)).cast("int")
+    chosen = sized.where(slot.cast("double") * F.col("size") < children.cast("double") * (SAMPLED * (1 << 30)))
     salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SALT_ROWS).cast("int") - 1))
-    pivots = chosen.select(F.col("block").alias("node"), F.col(id_col).alias("pivot"), F.col(vec_col).alias("at"), salts.alias("slice"))
+    pivots = chosen.select(F.col("block").alias("node"), F.col(id_col).alias("pivot"), F.col(vec_col).alias("at"), children.alias("children"), salts.alias("slice"))
 
     def divide(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty:
             return l[names]
-        centres = _centres(stack(r.sort_values("pivot")["at"]), fan) if len(r) else np.empty((0, 1))
+        centres = _centres(stack(r.sort_values("pivot")["at"]), int(r["children"].iloc[0])) if len(r) else np.empty((0, 1))
         if len(centres) > 1:
             child = _nearest(stack(l[vec_col]), centres)
         else:   # equal vectors: any division is as good as another
@@ -190,20 +192,26 @@ def closest(left: BallTree, right: BallTree, width: int) -> DataFrame:
 
 def near_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
                 schema: str) -> DataFrame:
-    """``kernel`` on the rows of each pair of blocks in ``pairs(lb, rb)``; both sides carry ``block``."""
+    """``kernel`` on left rows and right rows of all pairs of blocks in ``pairs(lb, rb)``; both sides carry ``block``.
+
+    Give the smaller side as ``left``: its rows are copied once for each partner block. They meet a
+    right block in groups of about ``TOGETHER`` rows of whole left blocks; the right block is copied once a group.
+    """
 
     names = [part.strip().split()[0] for part in schema.split(",")]
     # pairs of which one side has no rows (any more) are not dealt out
-    there = pairs.join(left.select(F.col("block").alias("lb")).distinct(), "lb", "left_semi")
-    there = there.join(right.select(F.col("block").alias("rb")).distinct(), "rb", "left_semi")
-    sides = []
-    for side, key, other in ((left, "lb", "rb"), (right, "rb", "lb")):
-        named = side.select(*(F.col(c).alias(c) for c in side.columns if c != "block"), F.col("block").alias(key))
-        sides.append(named.join(there.select(key, other), key).groupBy("lb", "rb"))
+    there = pairs.join(right.select(F.col("block").alias("rb")).distinct(), "rb", "left_semi")
+    there = there.join(left.groupBy(F.col("block").alias("lb")).agg(F.count("*").alias("n")), "lb")
+    parts = there.groupBy("rb").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
+    dealt = there.join(parts, "rb").select("lb", "rb", F.pmod(F.xxhash64("lb"), F.col("parts")).cast("int").alias("part"))
+    dealt = cut_lineage(dealt)
+    here = left.select(*(F.col(c).alias(c) for c in left.columns if c != "block"), F.col("block").alias("lb")).join(dealt, "lb")
+    used = dealt.select(F.col("rb").alias("rb"), F.col("part").alias("part")).distinct()
+    met = right.select(*(F.col(c).alias(c) for c in right.columns if c != "block"), F.col("block").alias("rb")).join(used, "rb")
 
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({n: [] for n in names})
         return kernel(l, r)
 
-    return sides[0].cogroup(sides[1]).applyInPandas(run, schema)
+    return here.groupBy("rb", "part").cogroup(met.groupBy("rb", "part")).applyInPandas(run, schema)

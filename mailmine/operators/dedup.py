@@ -13,8 +13,8 @@ from mailmine.operators.balls import meeting, near_blocks, plant, stack, within
 from mailmine.operators.similarity import chord, similarities
 from mailmine.session import cut_lineage
 
-FIRST = 16   # rows of a block that are candidates in the first round
-FASTER = 4   # times as many in each further one
+FIRST = 64   # rows of a block that are candidates in the first round
+FASTER = 8   # times as many in each further one
 
 
 def _hits(l: pd.DataFrame, r: pd.DataFrame, threshold: float, earlier: bool) -> pd.DataFrame:
@@ -62,7 +62,7 @@ def greedy_keep(items: DataFrame, *, id_col: str, priority_col: str, vec_col: st
         fresh = cut_lineage(heads.join(blocked.distinct(), "id", "left_anti"))
         kept = kept.unionByName(fresh.select("id"))
         waiting = undecided.join(fresh.select("id"), "id", "left_anti")
-        dropped = near_blocks(waiting, fresh, pairs, lambda l, r: _hits(l, r, threshold, False), "id long")
+        dropped = near_blocks(fresh, waiting, pairs, lambda l, r: _hits(r, l, threshold, False), "id long")
         undecided = cut_lineage(waiting.join(dropped.distinct(), "id", "left_anti"))
         candidates *= FASTER
     return kept.select(F.col("id").alias(id_col))

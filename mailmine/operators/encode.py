@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailmine.functions import lexicon as lx
+from mailmine.operators.vector_store import VectorStore
 
 
 def content_key(model_name: str, text: Column) -> Column:
@@ -159,20 +160,16 @@ def cache_misses(texts: DataFrame, cache: DataFrame, encoder, text: str) -> Data
 
 
 def encode_incremental(texts: DataFrame, cache_path: str, encoder, text: str,
-                       out: str = "embedding") -> DataFrame:
-    """Encode only what the cache does not hold, append it, and return all vectors.
+                       out: str = "embedding", batch: str | None = None) -> DataFrame:
+    """Encode only what the store at ``cache_path`` does not hold, add it, and return all vectors.
 
-    Every distinct content is encoded once, however many rows repeat it.
+    Every distinct content is encoded once, however many rows repeat it; only the partitions of the
+    store that the texts' keys fall into are read. A ``batch`` that has finished before adds nothing.
     """
 
-    spark = texts.sparkSession
-    schema = "content_key string, embedding array<float>"
-    try:
-        cache = spark.read.schema(schema).parquet(cache_path)
-    except AnalysisException:
-        cache = spark.createDataFrame([], schema)
-    misses = encoder.encode(cache_misses(texts, cache, encoder, text), text, "embedding")
-    misses.select("content_key", "embedding").write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["content_key"])
+    spark, store = texts.sparkSession, VectorStore(cache_path)
     keyed = texts.withColumn("content_key", content_key(encoder.name, F.col(text)))
-    return keyed.join(stored.withColumnRenamed("embedding", out), "content_key")
+    prefixes = store.prefixes(keyed)
+    if batch is None or not store.finished(spark, batch):
+        store.add(encoder.encode(store.missing(keyed, prefixes), text, "embedding"), batch)
+    return keyed.join(store.read(spark, prefixes).withColumnRenamed("embedding", out), "content_key")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from mailmine.functions import lexicon as lx
 from mailmine.operators.cluster import choose_k, kmeans
 from mailmine.operators.components import number_in_order
+from mailmine.session import cut_lineage
 
 
 class NotEnoughPairs(ValueError):
@@ -47,6 +48,7 @@ def _places(keys: DataFrame, label: str) -> DataFrame:
     put in order by their counts.
     """
 
+    keys = cut_lineage(keys)  # read three times
     n_ranges = max(1, -(-keys.count() // lx.PAIR_RANGE_ROWS))
     head = F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint")
     ranged = keys.withColumn("range", F.shiftright(head * F.lit(n_ranges).cast("bigint"), 32))
@@ -59,12 +61,12 @@ def _places(keys: DataFrame, label: str) -> DataFrame:
 
 
 def training_pairs(rows: DataFrame, label: str = "label_id", text: str = "combined_text",
-                   max_per_class: int | None = lx.PAIRS_PER_CLASS, seed: int = lx.PAIR_SEED) -> DataFrame:
+                   max_per_class: int | None = None, seed: int = lx.PAIR_SEED) -> DataFrame:
     """Positive pairs within a label: rows in a seeded order, neighbours paired.
 
     The order is that of the md5 of seed and row id, so it does not depend on partitioning.
-    ``max_per_class=None`` pairs all rows of every label (the odd last one stays alone); a number
-    asks for a sample, the first so many rows of each label, and then each task keeps at most
+    All rows of every label are paired (the odd last one stays alone); ``max_per_class`` asks for
+    a sample instead, the first so many rows of each label, and then each task keeps at most
     that many rows of a label before the shuffle. Texts are joined to the finished pairs.
     """
 

@@ -1,7 +1,7 @@
 """Exact similarity search between vector tables.
 
 ``rank_targets`` compares each query with the targets that can be among its best ``k``. Up to one
-block of targets (balls.BLOCK rows) is handed to every task and queries pass by it. More targets
+block of targets (RANK_BLOCK rows) is handed to every task and queries pass by it. More targets
 are planted as a ball tree, and so are the queries: a first pass compares each block of
 queries with the few most promising blocks of targets, which sets a floor per query; a second one
 visits only those blocks whose bound reaches the floor.
@@ -25,8 +25,9 @@ from mailmine.operators import balls
 from mailmine.operators.balls import stack
 from mailmine.session import cut_lineage
 
-STRIP = 4096  # targets compared at a time inside a task
-GUESSES = 4   # blocks of targets that the first pass visits for each block of queries
+RANK_BLOCK = 8192  # queries and targets of a block: larger than for pairs, so that few copies are dealt where bounds rule out little
+STRIP = 1024  # targets compared at a time inside a task
+GUESSES = 2   # blocks of targets that the first pass visits for each block of queries
 
 
 def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ def rank_targets(queries: DataFrame, targets: DataFrame, k: int, *, query_id: st
     n_targets = targets.count()
     if not n_targets:
         return queries.sparkSession.createDataFrame([], schema)
-    if n_targets > balls.BLOCK:
+    if n_targets > RANK_BLOCK:
         return _rank_by_balls(queries, targets, k, skip, target_id, schema, report)
     if report:
         report(1, 1)
@@ -150,8 +151,8 @@ def _rank_by_balls(queries: DataFrame, targets: DataFrame, k: int, skip: str | N
 
     numbered = cut_lineage(queries.withColumn("__q", F.monotonically_increasing_id()))
     own = list(dict.fromkeys(["__q", *([skip] if skip else []), "__vec"]))
-    q_tree = balls.plant(numbered.select(*own), "__q", "__vec")
-    t_tree = balls.plant(targets, "__tid", "__tvec")
+    q_tree = balls.plant(numbered.select(*own), "__q", "__vec", RANK_BLOCK)
+    t_tree = balls.plant(targets, "__tid", "__tvec", RANK_BLOCK)
     found = f"__q long, __tid {targets.schema['__tid'].dataType.simpleString()}, similarity double"
     best = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), "__tid")
 

@@ -46,6 +46,16 @@ def join_members(rows: DataFrame, vectors: DataFrame, assignments: DataFrame) ->
     return members
 
 
+def require_aligned(rows: DataFrame, assignments: DataFrame, placed: DataFrame) -> None:
+    """Raises unless ``placed``, the rows with their cluster number, has each row once; three counts of ids."""
+
+    n = F.count("*").alias("n")
+    found = placed.agg(n, F.countDistinct("row_id").alias("d")).first()
+    counts = (rows.agg(n).first()["n"], assignments.agg(n).first()["n"], found["n"], found["d"])
+    if len(set(counts)) > 1:
+        raise MisalignedInput(f"rows, cluster numbers, rows with one, different row ids: {counts}")
+
+
 def representatives(members: DataFrame, centers: DataFrame) -> DataFrame:
     """The member most similar to its cluster's centroid; a tie goes to the smallest row id."""
 
@@ -59,15 +69,17 @@ def representatives(members: DataFrame, centers: DataFrame) -> DataFrame:
     )
 
 
-def cluster_templates(members: DataFrame) -> DataFrame:
+def cluster_templates(members: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """One template per cluster, before ranking and de-duplication.
 
     ``members`` carries row_id, email_id, the texts, the labels, cluster_id and
-    embedding. Four aggregations by cluster meet in joins of one row per cluster.
+    embedding; ``placed``, if given, is a table of its row_id, cluster_id and embedding alone. Four
+    aggregations by cluster meet in joins of one row per cluster.
     """
 
-    centers = cut_lineage(centroids(members))
-    chosen = cut_lineage(representatives(members, centers))
+    placed = members if placed is None else placed
+    centers = cut_lineage(centroids(placed))
+    chosen = cut_lineage(representatives(placed, centers))
     texts = members.select("row_id", "email_id", "clean_subject", "clean_body").join(chosen, "row_id")
     bodies = ph.add_body_template(texts, "clean_body", "body_template")
     grouped = without_noise(members)
@@ -121,10 +133,10 @@ def deduplicated(templates: DataFrame, encoder=None, threshold: float = lx.DUPLI
 
 
 def generate_templates(members: DataFrame, encoder=None, threshold: float = lx.DUPLICATE_SIMILARITY,
-                       max_templates: int | None = None) -> DataFrame:
+                       max_templates: int | None = None, placed: DataFrame | None = None) -> DataFrame:
     """Templates of all clusters, de-duplicated and ranked; ``max_templates`` asks for a top list."""
 
-    built = cut_lineage(cluster_templates(members))
+    built = cut_lineage(cluster_templates(members, placed))
     kept = deduplicated(built, encoder, threshold)
     kept = ranked(kept) if max_templates is None else capped(kept, max_templates)
     return kept.select(*TEMPLATE_COLUMNS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,59 +14,74 @@ from mailmine.sources.mails import CSV_OPTIONS, DataValidationError, clean_rows,
 REPORT = "file string, rows long, columns array<string>, error string"
 NOT_CSV = "not a .csv file"
 EMPTY = "empty file"
+HEADERS_AT_ONCE = 64
 
 
-def _headers(spark: SparkSession, folder: str) -> list:
-    """Every delivered file with its first line, null for an empty file; found by the executors."""
+def canonical(path: str) -> str:
+    """A path as every part of Spark writes it: listings and rows differ in the slashes of the root."""
 
+    return re.sub(r"^(\w+):/+(?=[^/])", r"\1:///", path) if path.startswith("file:") else path
 
-    delivered = spark.read.option("recursiveFileLookup", True).text(folder)
-    files = spark.createDataFrame([(f,) for f in delivered.inputFiles()], "file string")
-    lines = delivered.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
-        F.monotonically_increasing_id().alias("line"),
-    )
-    first = F.min_by("value", "line").alias("header")
-    found = lines.where("start = 0").groupBy("file").agg(first)
-    # the listing and the rows may write the root of a path differently
-    root = F.regexp_replace("file", "^(\\w+):/([^/])", "$1:///$2").alias("root")
-    listed = files.select(root, F.col("file").alias("listed"))
-    met = listed.join(found.select(root, "file", "header"), "root", "left")
-    return met.select(F.coalesce("file", "listed").alias("file"), "header").collect()
 
+def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str | None]:
+    """The first line of each file, null for an empty one.
 
-def landing_report(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per delivered file: clean rows, columns, or why it was refused.
+    Readers stop at the first line of a file, so what is read of a file is a buffer and not the file.
+    """
 
-    Files with the same header are read together; rows are counted per file by the
-    executors. Only file names and headers reach the driver.
+    found: dict[str, str | None] = dict.fromkeys(files)
+    for start in range(0, len(files), HEADERS_AT_ONCE):
+        parts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in files[start:start + HEADERS_AT_ONCE]]
+        found.update({r["file"]: r["value"] for r in reduce(DataFrame.union, parts).collect()})
+    return found
+
+
+def delivered(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Every file under ``folder`` with its length, from the listing alone."""
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return sorted((canonical(r["path"]), r["length"]) for r in listed.select("path", "length").collect())
+
+
+def sorted_out(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[list[tuple[DataFrame, list[str]]], list[tuple[str, str]]]:
+    """Readable files as cleaned tables with the files they hold, one table for each header; and refused files with the reason.
+
+    The tables have a column ``__file``.
     """
 
+    refused = [(f, EMPTY if not length else NOT_CSV) for f, length in files if not length or not f.lower().endswith(".csv")]
+    left = sorted({f for f, _ in files} - {f for f, _ in refused})
     by_header: dict[str, list[str]] = {}
-    refused = []
-    for row in _headers(spark, folder):
-        if row["header"] is None:
-            refused.append((row["file"], None, None, EMPTY))
-        elif row["file"].lower().endswith(".csv"):
-            by_header.setdefault(row["header"], []).append(row["file"])
-        else:
-            refused.append((row["file"], None, None, NOT_CSV))
-    parts = []
-    for files in by_header.values():
-        df = normalize_columns(spark.read.options(**CSV_OPTIONS).csv(files))
+    for file, header in first_lines(spark, left).items():
+        by_header.setdefault(header or "", []).append(file)
+    tables = []
+    for same in by_header.values():
+        df = normalize_columns(spark.read.options(**CSV_OPTIONS).csv(same))
         try:
             validate_columns(df)
         except DataValidationError as error:
-            refused += [(f, None, None, f"unreadable: {error}") for f in files]
+            refused += [(f, f"unreadable: {error}") for f in same]
             continue
-        named = df.withColumn("__file", F.col("_metadata.file_path"))
-        cleaned = clean_rows(named)
+        file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+(?=[^/])", "file:///")
+        tables.append((clean_rows(df.withColumn("__file", file)), same))
+    return tables, refused
+
+
+def landing_report(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per delivered file: clean rows, columns, or why it was refused.
+
+    Files with the same header are read together; rows are counted per file by the
+    executors. Only file names and headers reach the driver.
+    """
+
+    tables, refused = sorted_out(spark, delivered(spark, folder))
+    parts = [spark.createDataFrame([(f, None, None, why) for f, why in refused], REPORT)]
+    for cleaned, files in tables:
         columns = F.array(*[F.lit(c) for c in cleaned.columns if c != "__file"])
         counted = cleaned.groupBy("__file").agg(F.count("*").alias("rows"))
         listed = spark.createDataFrame([(f,) for f in files], "__file string").join(counted, "__file", "left")
         parts.append(listed.select(F.col("__file").alias("file"), F.coalesce("rows", F.lit(0)).alias("rows"),
                                    columns.alias("columns"), F.lit(None).cast("string").alias("error")))
-    parts.append(spark.createDataFrame(refused, REPORT))
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 

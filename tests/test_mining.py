@@ -159,12 +159,12 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "row_id long, label string, combined_text string").repartition(4)
     coded = pr.encode_labels(df, "label")
     assert {r["label"]: r["label_id"] for r in coded.collect()} == {None: 0, "a": 1, "b": 2}
-    pairs = pr.training_pairs(coded).collect()
+    pairs = pr.training_pairs(coded, max_per_class=100).collect()
     by_label = [sum(r["label_id"] == i for r in pairs) for i in range(3)]
     assert by_label == [0, 50, 1]  # a hundred rows drawn, two rows, one row alone
     used = [x for r in pairs for x in (r["anchor_id"], r["positive_id"])]
     assert len(used) == len(set(used)) and all(r["anchor"] == f"text {r['anchor_id']}" for r in pairs)
-    again = pr.training_pairs(coded.repartition(1)).collect()
+    again = pr.training_pairs(coded.repartition(1), max_per_class=100).collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in pairs}
     noise = coded.withColumn("label_id", F.lit(-1))
     with pytest.raises(pr.NotEnoughPairs):

@@ -117,8 +117,9 @@ def test_streams_equal_batch(spark, two_topics, templates, tmp_path):
 
     vectors = mt.encode_templates(templates)
     stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "out"))
-    st.write_stream(st.match_stream(stream, vectors, 2), str(tmp_path / "m"), str(tmp_path / "c2")).awaitTermination()
-    assert sorted(spark.read.parquet(str(tmp_path / "m")).collect()) == sorted(mt.match(stored, vectors, 2).collect())
+    st.match_stream(stream, templates, str(tmp_path / "m"), str(tmp_path / "c2"), 2).awaitTermination()
+    matched = spark.read.parquet(str(tmp_path / "m")).select("row_id", "cluster_id", "similarity", "rank")
+    assert sorted(matched.collect()) == sorted(mt.match(stored, vectors, 2).collect())
 
     cache = str(tmp_path / "vectors")
     for check in ("c3", "c4"):  # the second run replays everything

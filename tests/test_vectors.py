@@ -37,7 +37,7 @@ def sims(v):
 
 @pytest.mark.parametrize("block, scaled", [(1024, False), (1024, True), (30, True)])
 def test_top_k_in_one_block_and_by_balls(spark, block, scaled, monkeypatch):
-    monkeypatch.setattr(bl, "BLOCK", block)
+    monkeypatch.setattr(sm, "RANK_BLOCK", block)
     monkeypatch.setattr(bl, "FAN", 4)
     v = blobs(6, 20, 0.3)
     v[7] = v[3]  # a tie
@@ -53,7 +53,7 @@ def test_top_k_in_one_block_and_by_balls(spark, block, scaled, monkeypatch):
 
 
 def test_top_k_asks_for_more_than_a_block_holds(spark, monkeypatch):
-    monkeypatch.setattr(bl, "BLOCK", 8)
+    monkeypatch.setattr(sm, "RANK_BLOCK", 8)
     v = blobs(3, 10, 0.3)
     df = frame(spark, v).withColumn("kind", F.col("row_id") % 2)
     out = sm.rank_targets(df, df.withColumnRenamed("row_id", "other"), 100, query_id="row_id", query_vec="embedding",
@@ -65,7 +65,7 @@ def test_top_k_asks_for_more_than_a_block_holds(spark, monkeypatch):
 
 
 def test_top_k_visits_few_blocks_of_planted_groups(spark, monkeypatch):
-    monkeypatch.setattr(bl, "BLOCK", 40)
+    monkeypatch.setattr(sm, "RANK_BLOCK", 40)
     df = frame(spark, blobs(40, 30, 0.02, dim=16))
     seen = []
     sm.rank_targets(df, df.withColumnRenamed("row_id", "other"), 5, query_id="row_id", query_vec="embedding",
@@ -200,6 +200,7 @@ def test_average_linkage_searches_only_where_neighbours_merged(spark):
 
 def test_metrics_of_many_clusters_visit_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(bl, "BLOCK", 32)
+    monkeypatch.setattr(sm, "RANK_BLOCK", 32)
     rng = np.random.default_rng(4)
     towns = np.repeat(unit(rng.normal(size=(30, 12))), 20, axis=0)
     centers = towns + rng.normal(scale=0.02, size=towns.shape)      # 600 clusters in 30 far groups
