@@ -23,7 +23,7 @@ from mailmine.operators.components import number_in_order
 from mailmine.operators.dedup import greedy_keep
 from mailmine.operators.prepare import add_texts
 from mailmine.operators.similarity import rank_targets
-from mailmine.session import cut_lineage
+from mailmine.session import cut_lineage, scratch_path
 
 # --- shared inputs -----------------------------------------------------------------
 
@@ -210,19 +210,28 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return _spread(cl.centroids(vectors(spark, sf)), "cluster_id", "centroid")
 
 
-@query("cluster_sizes", "SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1")
+# vectors whose first part is large play the noise that a density clustering leaves
+_NOISY = "(SELECT vec_id, CASE WHEN embedding[1] > 0.15 THEN -1 ELSE label END AS label FROM embeddings)"
+
+
+def noisy_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf)
+    return rows.select("row_id", F.when(F.col("embedding")[0] > 0.15, lx.NOISE).otherwise(F.col("cluster_id")).alias("cluster_id"))
+
+
+@query("cluster_sizes", f"SELECT label AS cluster_id, count(*) AS size FROM {_NOISY} WHERE label <> -1 GROUP BY 1")
 def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.cluster_sizes(vectors(spark, sf).drop("embedding"))
+    return cl.cluster_sizes(noisy_labels(spark, sf))
 
 
-@query("n_clusters", "SELECT count(DISTINCT label) AS n_clusters FROM embeddings")
+@query("n_clusters", f"SELECT count(DISTINCT label) AS n_clusters FROM {_NOISY} WHERE label <> -1")
 def n_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return me.n_clusters(vectors(spark, sf).drop("embedding"))
+    return me.n_clusters(noisy_labels(spark, sf))
 
 
-@query("distinct_labels", "SELECT DISTINCT label AS cluster_id FROM embeddings WHERE label <> -1 ORDER BY 1")
+@query("distinct_labels", f"SELECT DISTINCT label AS cluster_id FROM {_NOISY} WHERE label <> -1 ORDER BY 1")
 def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.without_noise(vectors(spark, sf).select("cluster_id")).distinct().orderBy("cluster_id")
+    return cl.cluster_labels(noisy_labels(spark, sf))
 
 
 @query(
@@ -232,8 +241,7 @@ def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
 )
 def heuristic_k(spark: SparkSession, sf: str) -> DataFrame:
     counts = read(spark, sf, "documents", "doc_id", "source").groupBy("source").agg(F.count("*").alias("n"))
-    raw = F.bround(F.sqrt(F.greatest(F.col("n"), F.lit(4)) / 2), 0)
-    return counts.withColumn("k", F.least(F.lit(20), F.greatest(F.lit(4), raw)).cast("int"))
+    return counts.withColumn("k", F.udf(cl.heuristic_k, "int")("n"))  # one row a source
 
 
 _PAIRED = (
@@ -616,7 +624,7 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 )
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
     members = desk_members(spark, sf)
-    status = me.run_status(members, tp.generate_templates(members), fine_tuned=False)
+    status = me.run_status(members, tp.generate_templates(members), en.resolve_encoder(spark, scratch_path(spark, "no-encoder")).fitted)
     return status.withColumn("fine_tuned_loaded", F.col("fine_tuned_loaded").cast("int"))
 
 

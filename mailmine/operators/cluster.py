@@ -269,3 +269,9 @@ def centroids(members: DataFrame) -> DataFrame:
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
     return without_noise(assignments).groupBy("cluster_id").agg(F.count("*").alias("size"))
+
+
+def cluster_labels(assignments: DataFrame) -> DataFrame:
+    """The cluster numbers in use, ascending, noise left out."""
+
+    return without_noise(assignments).select("cluster_id").distinct().orderBy("cluster_id")

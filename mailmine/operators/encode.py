@@ -37,6 +37,8 @@ class HashedEncoder:
     as a narrow projection. A text without words becomes the zero vector.
     """
 
+    fitted = False
+
     def __init__(self, dim: int = lx.EMBED_DIM) -> None:
         self.dim = dim
         self.name = f"hashed-{dim}"
@@ -60,6 +62,8 @@ class HashedEncoder:
 class FittedEncoder:
     """A Spark ML model fitted on a corpus, saved and loaded as one artefact."""
 
+    fitted = True
+
     def __init__(self, model: PipelineModel, name: str) -> None:
         self.model = model
         self.name = name
@@ -107,6 +111,8 @@ def fit_word2vec(df: DataFrame, text: str, dim: int = lx.EMBED_DIM, seed: int =
 class FunctionEncoder:
     """A user's model. ``load`` runs once per task and gives texts -> 2-d array."""
 
+    fitted = False
+
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], name: str) -> None:
         self.load = load
         self.name = name

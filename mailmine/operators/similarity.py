@@ -136,11 +136,15 @@ def _compare(k: int, skip: str | None):
             return pd.DataFrame({"__q": [], "__tid": [], "similarity": []})
         hide = _positions(list(t["__tid"]), list(q[skip])) if skip else None
         pos, sim = _top(here, there, k, hide)
-        good = np.isfinite(sim)
+        tids, good = t["__tid"].to_numpy(), np.isfinite(sim)
         if "floor" in q:
+            # what only equals the floor must have a smaller id to take its place
+            rows, cols = np.nonzero(good & (sim == floor[:, None]))
+            late = ~(tids[pos[rows, cols]] < q["floor_tid"].to_numpy()[rows])
             good &= sim >= floor[:, None]
+            good[rows[late], cols[late]] = False
         rows, cols = np.nonzero(good)
-        return pd.DataFrame({"__q": q["__q"].to_numpy()[rows], "__tid": t["__tid"].to_numpy()[pos[rows, cols]], "similarity": sim[rows, cols]})
+        return pd.DataFrame({"__q": q["__q"].to_numpy()[rows], "__tid": tids[pos[rows, cols]], "similarity": sim[rows, cols]})
 
     return run
 
@@ -162,8 +166,9 @@ def _rank_by_balls(queries: DataFrame, targets: DataFrame, k: int, skip: str | N
     guessed = balls.closest(q_tree, t_tree, GUESSES)
     first = cut_lineage(top(balls.near_blocks(q_tree.rows, t_tree.rows, guessed, _compare(k, skip), found)))
     # a query that has met k targets needs no worse ones; the others may still need any
-    floors = first.where(F.col("rank") == k).select("__q", F.col("similarity").alias("floor"))
-    rows = cut_lineage(q_tree.rows.join(floors, "__q", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))))
+    floors = first.where(F.col("rank") == k).select("__q", F.col("similarity").alias("floor"), F.col("__tid").alias("floor_tid"))
+    rows = cut_lineage(q_tree.rows.join(floors, "__q", "left").withColumns({
+        "floor": F.coalesce("floor", F.lit(-np.inf)), "floor_tid": F.coalesce("floor_tid", F.lit(0).cast(targets.schema["__tid"].dataType))}))
     lowest = rows.groupBy("block").agg(F.min("floor").alias("floor"))
     leaves = cut_lineage(q_tree.leaves.join(lowest, "block"))
     may = balls.meeting(replace(q_tree, rows=rows, leaves=leaves), t_tree, balls.above_floor())

@@ -36,24 +36,27 @@ def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str | None]:
     return found
 
 
-def delivered(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """Every file under ``folder`` with its length, from the listing alone."""
+def delivered(spark: SparkSession, folder: str) -> list[str]:
+    """Every file under ``folder``, from the listing alone; empty files have no row, but are listed."""
 
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return sorted((canonical(r["path"]), r["length"]) for r in listed.select("path", "length").collect())
+    return sorted(map(canonical, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()))
 
 
-def sorted_out(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[list[tuple[DataFrame, list[str]]], list[tuple[str, str]]]:
+def sorted_out(spark: SparkSession, files: list[str]) -> tuple[list[tuple[DataFrame, list[str]]], list[tuple[str, str]]]:
     """Readable files as cleaned tables with the files they hold, one table for each header; and refused files with the reason.
 
     The tables have a column ``__file``.
     """
 
-    refused = [(f, EMPTY if not length else NOT_CSV) for f, length in files if not length or not f.lower().endswith(".csv")]
-    left = sorted({f for f, _ in files} - {f for f, _ in refused})
     by_header: dict[str, list[str]] = {}
-    for file, header in first_lines(spark, left).items():
-        by_header.setdefault(header or "", []).append(file)
+    refused = []
+    for file, header in first_lines(spark, sorted(set(files))).items():
+        if header is None:
+            refused.append((file, EMPTY))
+        elif file.lower().endswith(".csv"):
+            by_header.setdefault(header, []).append(file)
+        else:
+            refused.append((file, NOT_CSV))
     tables = []
     for same in by_header.values():
         df = normalize_columns(spark.read.options(**CSV_OPTIONS).csv(same))

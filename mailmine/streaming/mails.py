@@ -32,7 +32,8 @@ def land_stream(spark: SparkSession, folder: str, out: str, refused: str, checkp
 
     The stream is one of file names; what it reads of a file to tell its header is one buffer. A
     bad file is set aside and does not stop the others. With ``archive`` every file is moved there
-    when its batch is done. Batches replace their own folders, so a replay leaves no second copy.
+    when its batch is done. Batches replace their own folders, so a replay leaves no second copy. An empty
+    file gives nothing to either table: Spark's file readers have no row for it.
     """
 
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -43,15 +44,14 @@ def land_stream(spark: SparkSession, folder: str, out: str, refused: str, checkp
 
     def land(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        files = sorted((landing.canonical(r["path"]), r["length"]) for r in batch.collect())
-        tables, bad = landing.sorted_out(session, files)
+        tables, bad = landing.sorted_out(session, [landing.canonical(r["path"]) for r in batch.collect()])
         rows = [t.select(*columns, F.col("__file").alias("file")) for t, _ in tables]
         if rows:
             reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
         if bad:
             session.createDataFrame(bad, "file string, error string").write.mode("overwrite").parquet(f"{refused.rstrip('/')}/batch={batch_id}")
 
-    names = reader.load(folder).select("path", "length")
+    names = reader.load(folder).select("path")
     return names.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

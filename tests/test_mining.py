@@ -16,7 +16,7 @@ from mailmine.operators import pairs as pr
 from mailmine.operators import templates as tp
 from mailmine.operators.prepare import prepare
 from mailmine.plans import training
-from mailmine.plans.mining import MiningParams, mine
+from mailmine.plans.mining import MiningParams, load_run, mine
 from tests.conftest import MAIL
 
 
@@ -204,3 +204,13 @@ def test_encoder_comparison(spark, two_topics):
     )
     row = training.compare_encoders(rows, training.fit_encoder(rows, "tfidf")).first()
     assert row["improvement"] == pytest.approx(row["fine_tuned_silhouette"] - row["baseline_silhouette"])
+
+
+def test_a_run_knows_its_fitted_encoder(spark, two_topics, tmp_path):
+    tuned = training.fit_encoder(prepare(two_topics), "tfidf")
+    run = mine(two_topics, MiningParams(n_clusters=2, encoder=tuned, scores=(0.25, 0.75)))
+    row = run.evaluation.first()
+    assert (row["baseline_silhouette"], row["fine_tuned_silhouette"], row["fine_tuning_improvement"]) == (0.25, 0.75, 0.5)
+    run.save(str(tmp_path))
+    status = load_run(spark, str(tmp_path)).status().first()
+    assert tuple(status) == (40, run.templates.count(), True)

@@ -134,9 +134,9 @@ def test_one_bad_file_does_not_stop_the_landing(spark, tmp_path):
     rows = {(r["email_id"], r["subject"], r["body"], r["category"]) for r in spark.read.parquet(out).collect()}
     assert rows == {("1", "a", "b", None), ("3", "", "x", "z"), ("4", "s", "t", None)}
     told = {os.path.basename(r["file"]): r["error"] for r in spark.read.parquet(refused).collect()}
-    assert set(told) == {"bad.csv", "empty.csv", "notes.txt"}
+    assert set(told) == {"bad.csv", "notes.txt"}
     assert told["bad.csv"] == "unreadable: columns body are not there, only email_id, subject"
-    assert told["empty.csv"] == landing.EMPTY and told["notes.txt"] == landing.NOT_CSV
+    assert told["notes.txt"] == landing.NOT_CSV
 
 
 def test_headers_are_read_without_the_files(spark, tmp_path):
