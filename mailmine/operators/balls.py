@@ -26,7 +26,7 @@ from mailmine.functions.vectors import distance, dot, scaled, squared_norm, sum_
 from mailmine.session import cut_lineage
 
 BLOCK = 4096      # rows of a leaf at most
-FAN = 32          # children of a node at most; a node gets about two for each leaf its rows would fill
+FAN = 32          # children of a node at most; a node gets about one for each leaf its rows would fill
 SAMPLED = 4       # sampled rows for each child
 TOGETHER = 4096   # rows of partner blocks that meet a block in one task
 SALT_ROWS = 8192  # rows of a large node that one task splits
@@ -94,7 +94,7 @@ def _split(rows: DataFrame, large: DataFrame, id_col: str, vec_col: str, block:
     if depth > DEPTH:
         parts = F.ceil(2 * F.col("size") / block).cast("bigint")
         return sized.withColumn("block", F.concat_ws(".", "block", F.pmod(slot, parts))).select(*names)
-    children = F.least(F.lit(fan), F.ceil(2 * F.col("size") / block)).cast("int")
+    children = F.greatest(F.lit(2), F.least(F.lit(fan), F.ceil(F.col("size") / block))).cast("int")
     chosen = sized.where(slot.cast("double") * F.col("size") < children.cast("double") * (SAMPLED * (1 << 30)))
     salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SALT_ROWS).cast("int") - 1))
     pivots = chosen.select(F.col("block").alias("node"), F.col(id_col).alias("pivot"), F.col(vec_col).alias("at"), children.alias("children"), salts.alias("slice"))
