@@ -1,9 +1,11 @@
 """Secret scan with structural confirmation.
 
 Base patterns report assignments, access key names and long hex runs. Beyond them, every
-base64 or hex candidate is decoded and reported only if its content has the structure of a
-key: nested DER lengths that add up, a PEM body that decodes to DER, the length-prefixed
-strings of an SSH key, or a signed token whose header is JSON with an algorithm.
+base64 (either alphabet) or hex candidate, over wrapped and escaped line ends, is decoded and
+reported only if its content has the structure of a key: nested DER lengths that add up, a PEM
+body that decodes to DER, the length-prefixed strings of an SSH key, or a signed token whose
+header is JSON with an algorithm. A candidate begins where a line of its run begins and ends
+where a line ends, so text before or behind a wrapped key does not hide it.
 
 Defined results: a null or empty text has no span; repeated rows are scanned each by itself;
 further columns are ignored. Offsets are code points, ends are exclusive.
@@ -17,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,18 +34,32 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-# candidates of the method; each is decoded before it is reported
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+# candidates of the method; each is decoded before it is reported. What is sought begins with fixed bytes
+# (a DER sequence, an armour line, the length of a key kind, a private key's name), so only runs that begin
+# with their base64 or hex form need decoding. Runs go on over line ends, real or escaped.
+BREAK = r"(?:(?:\\r)?\\n|\r?\n)[\x20\t]*+"
+ARMOUR = r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[rnt])*+)-----END \1-----"
+PEM = re.compile(ARMOUR)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{20,}+={0,2}")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}+={0,2}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}+(?![0-9A-Fa-f])")
+HEAD64 = r"(?:M[A-P]|LS0tLS1CRUdJTi|AAAA[A-H]|b3BlbnNzaC1rZXkt)"
+RUN64 = re.compile(rf"(?<![A-Za-z0-9+/]){HEAD64}[A-Za-z0-9+/_-]{{18,}}+(?:{BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+PIECE64 = re.compile(r"(?:(?<=\\n)|(?<!\\))[A-Za-z0-9+/_-]++")
+HEAD16 = r"(?:30|2[dD]2[dD]2[dD]2[dD]2[dD]|000000|6[fF]70656[eE]737368)"
+RUN16 = re.compile(rf"(?<![0-9A-Fa-f]){HEAD16}[0-9A-Fa-f]{{30,}}+(?:{BREAK}[0-9A-Fa-f]++)*+(?![0-9A-Fa-f])")
+PIECE16 = re.compile(r"[0-9A-Fa-f]++")
+BEGINS64, BEGINS16 = re.compile(HEAD64), re.compile(HEAD16)
+LEAST = 30     # bytes of a key outside an armour
+SSH_PARTS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2}     # strings of a public key, by its kind
+OPENSSH = b"openssh-key-v1\0"
+
+
+ESCAPED = re.compile(r"\\[rnt]")
 
 
 def unbase64(body: str) -> bytes | None:
-    """The decoded bytes, or None; padding may be missing."""
+    """The decoded bytes, or None; padding may be missing, line ends may be escaped, both alphabets will do."""
 
-    body = "".join(body.split()).rstrip("=")
+    body = "".join(ESCAPED.sub("", body).split()).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -104,21 +121,100 @@ def jwt_header(token: str) -> bool:
     return all(isinstance(x, dict) for x in parsed) and isinstance(parsed[0].get("alg"), str)
 
 
+def armoured(text: str, m: re.Match) -> bool:
+    data = unbase64(m[2])
+    return bool(data) and (der_nested(data) or openssh_private(data))
+
+
+def openssh_private(data: bytes) -> bool:
+    """The name, three strings, the number of keys, and a string for each public and the private part, to the end."""
+
+    if not data.startswith(OPENSSH):
+        return False
+    at, left, known = len(OPENSSH), 3, False
+    while left:
+        size = int.from_bytes(data[at:at + 4], "big")
+        at, left = at + 4 + size, left - 1
+        if at > len(data):
+            return False
+        if not left and not known:
+            left, at, known = int.from_bytes(data[at:at + 4], "big") + 1, at + 4, True
+    return at <= len(data)
+
+
+def claim(head: bytes, more: int) -> int | None:
+    """How many of the ``more`` bytes that begin with ``head`` its kind of key would take; None if it is no key."""
+
+    if head[0] == 0x30:
+        size, at = head[1], 2
+        if size > 0x80:
+            size, at = int.from_bytes(head[2:2 + size - 0x80], "big"), 2 + size - 0x80
+        return at + size if head[1] != 0x80 and head[1] <= 0x84 and LEAST <= at + size <= more else None
+    known = head.startswith((b"-----BEGIN ", OPENSSH)) or (head[:3] == b"\0\0\0" and head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")))
+    return more if known and more >= LEAST else None
+
+
+def structure(data: bytes) -> tuple[str, int] | None:
+    """Kind and size of the key that ``data`` begins with."""
+
+    if data.startswith(b"-----BEGIN "):
+        text = data.decode("latin-1")
+        m = PEM.match(text)
+        return ("pem", len(data) - len(text[m.end():].lstrip())) if m and armoured(text, m) else None
+    if data.startswith(OPENSSH):
+        return ("ssh", len(data)) if openssh_private(data) else None
+    if data[0] == 0x30:
+        return ("der", len(data)) if der_nested(data) else None
+    kind = data[4:4 + data[3]]
+    at, strings = 0, SSH_PARTS.get(kind, 3 if kind.startswith(b"ecdsa-") else 0)
+    for _ in range(strings):
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    at = at if LEAST <= at <= len(data) else len(data)
+    return ("ssh", at) if ssh_strings(data[:at]) else None
+
+
+def _in_run(run: re.Match, pieces: re.Pattern, begins: re.Pattern, chars: int, decode) -> list[tuple[str, int, int]]:
+    """Keys that begin with a line of the run and end with a line; three bytes take ``chars`` characters."""
+
+    text = run.string
+    lines = [m.span() for m in pieces.finditer(text, *run.span())]
+    body = "".join(text[a:b] for a, b in lines)
+    starts = [0, *accumulate(b - a for a, b in lines)]
+    line_of = {n: k for k, n in enumerate(starts)}
+    out, k = [], 0
+    while k < len(lines):
+        at, first, k = starts[k], lines[k][0], k + 1
+        head = decode(body[at:at + 64]) if begins.match(body, at) else None
+        need = claim(head, (len(body) - at) * 3 // chars) if head else None
+        whole = decode(body[at:at - (-need * chars // 3)]) if need else None
+        found = structure(whole) if whole else None
+        end = line_of.get(at - (-found[1] * chars // 3)) if found else None
+        if end:
+            k, tail = end, lines[end - 1][1]
+            while tail < run.end() and text[tail] == "=":
+                tail += 1
+            out.append((found[0], first, tail))
+    return out
+
+
+def _unhex(body: str) -> bytes | None:
+    return bytes.fromhex(body[:len(body) // 2 * 2])
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the candidates whose decoded content has the structure of a key or token."""
+    """Spans of the candidates whose decoded content has the structure of a key or token.
+
+    Kinds name what was found inside: an armoured key in base64 or hex is ``pem`` as well."""
 
     out = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = unbase64(m[2])
-            if data and (der_nested(data) or data.startswith(b"openssh-key-v1\0")):
-                out.append(("pem", *m.span()))
+        out += [("pem", *m.span()) for m in PEM.finditer(text) if armoured(text, m)]
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if jwt_header(m[0])]
-    if "AAAA" in text:
-        out += [("ssh", *m.span()) for m in SSH.finditer(text) if ssh_strings(unbase64(m[0]) or b"")]
-    out += [("der", *m.span()) for m in BASE64.finditer(text) if der_nested(unbase64(m[0]) or b"")]
-    out += [("der", *m.span()) for m in HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and der_nested(bytes.fromhex(m[0]))]
+    for m in RUN64.finditer(text):
+        out += _in_run(m, PIECE64, BEGINS64, 4, unbase64)
+    for m in RUN16.finditer(text):
+        out += _in_run(m, PIECE16, BEGINS16, 6, _unhex)
     return out
 
 
