@@ -1,14 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and character n-grams are hashed to buckets; each bucket has a learned vector, a
+Words, word n-grams and the character n-grams of words are hashed to buckets; each bucket has a learned vector, a
 document is the mean of its vectors, and a softmax layer gives the class. The model is
 trained by stochastic gradient descent in numpy, inside one task, on a bounded sample of
-labelled rows (``ModelParams.sample_rows``, the rows with the smallest hash of their id). As
+labelled rows (``ModelParams.sample_rows`` and ``sample_bytes``, the rows with the smallest hash of their id). As
 score, the softmax of two classes is the logistic of their difference, so the product of
 vectors and output layer is one number per bucket: scoring is a lookup and a mean.
 
 Defined results: a null or empty text has no features and gets the score of the bias; a label
-that is null or without a document is ignored; without any usable label every score is 0.5;
+that is null or without a document is ignored, and so is an id with both labels; without any usable label every score is 0.5;
 repeated rows are scored each by itself; further columns are ignored.
 """
 
@@ -29,10 +29,12 @@ from mailmine.llm.tables import carried, carrying, documents, prepare
 @dataclass(frozen=True)
 class ModelParams:
     sample_rows: int = 4000        # labelled rows the fit reads at most; nothing else is sampled
-    bucket_bits: int = 18
+    sample_bytes: int = 256 << 20  # and at most so many bytes of their features
+    word_grams: tuple[int, ...] = (2, 3)
+    bucket_bits: int = 20
     dim: int = 8
-    epochs: int = 6
-    rate: float = 0.2
+    epochs: int = 15
+    rate: float = 0.5
     char_grams: tuple[int, ...] = (3, 5)
     seed: int = 7
 
@@ -42,23 +44,27 @@ def features(data: np.ndarray, offsets: np.ndarray, p: ModelParams) -> Iterator[
 
     top = np.uint64(64 - p.bucket_bits)
     starts, ends, rows = B.word_bounds(data, offsets)
-    words = B.range_hashes(data, starts, ends)
+    words = B.word_hashes(data, starts, ends)
     yield (words >> top).astype(np.int64), rows[:-1], rows[1:]
-    # a word equal to one of the two before it is a word n-gram of its own, whatever the word
-    pairs = np.full(len(words), 0x51, np.uint64)
-    for back in (1, 2):
-        pairs[back:][words[back:] == words[:-back]] += np.uint64(back)
-    yield (B.mix(pairs) >> top).astype(np.int64), rows[:-1], rows[1:]
-    wide = data.astype(np.uint64)
+    for n in p.word_grams:
+        gram = B.window_hashes(words, n, words=True)
+        first = np.minimum(rows[:-1], len(gram))
+        yield (B.mix(gram + np.uint64(n)) >> top).astype(np.int64), first, np.maximum(np.minimum(rows[1:] - n + 1, len(gram)), first)
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    blank = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
+    symbols = np.where(blank, np.uint32(0x20), points).astype(np.uint64) + np.uint64(1)
+    before = np.concatenate([[0], np.cumsum(blank)])
+    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     for n in p.char_grams:
-        if len(data) < n:
-            continue
-        gram = np.full(len(data) - n + 1, n, np.uint64)
+        size = max(len(points) - n + 1, 0)
+        gram = np.full(size, n, np.uint64)
         for k in range(n):
-            gram = (gram << np.uint64(8)) | wide[k:len(data) - n + 1 + k]
-        bucket = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> top).astype(np.int64)
-        first = np.minimum(offsets[:-1], len(bucket))
-        yield bucket, first, np.maximum(offsets[1:] - n + 1, first)
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + symbols[k:size + k]
+        # characters of one word, with the blank before or behind it
+        inner = np.flatnonzero(before[n - 1:size + n - 1] == before[1:size + 1])
+        first = np.searchsorted(inner, place[:-1])
+        yield ((B.mix(gram[inner]) >> top).astype(np.int64), first,
+               np.maximum(np.searchsorted(inner, place[1:] - n + 1), first))
 
 
 def _packed(p: ModelParams):
@@ -81,11 +87,12 @@ def _packed(p: ModelParams):
 
 def _fit(p: ModelParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["rank"], r["packed"], r["label"]) for batch in batches for r in batch.to_pylist())
-        samples = []
-        for _, packed, label in rows:
-            half = len(packed) // 2
-            samples.append((np.frombuffer(packed[:half], np.int32), np.frombuffer(packed[half:], np.float32), int(label)))
+        samples, size = [], 0
+        for batch in batches:
+            for packed, label in zip(batch.column("packed").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                size, half = size + len(packed), len(packed) // 2
+                if len(samples) < p.sample_rows and size <= p.sample_bytes:
+                    samples.append((np.frombuffer(packed[:half], np.int32), np.frombuffer(packed[half:], np.float32), int(label)))
         yield pa.RecordBatch.from_arrays([pa.array([descend(samples, p).tobytes()], pa.binary())], names=["model"])
     return run
 
@@ -145,13 +152,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, params: Model
 
     prepare(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    marked = marked.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn).dropDuplicates(["doc_id"])
+    marked = marked.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn)
+    # an id marked both ways says nothing
+    marked = marked.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = marked.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(params.sample_rows)
     rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")
     packed = rows.mapInArrow(_packed(params), "rank bigint, label int, packed binary")
-    # repeated documents could exceed the bound of the sample
-    packed = packed.orderBy("rank", "packed").limit(params.sample_rows)
-    found = packed.repartition(1).mapInArrow(_fit(params), "model binary").first()
+    # one task in the order of the hash; it stops at the bounds of the sample, which repeated or long documents could exceed
+    found = packed.repartition(1).sortWithinPartitions("rank", "packed").mapInArrow(_fit(params), "model binary").first()
     return bytes(found["model"]) if found else np.zeros(1).tobytes()
 
 
