@@ -30,11 +30,12 @@ class RuleParams:
     repeat_window: int = 5
     max_repeat_percent: int = 20      # words in repeated windows
     nav_words: int = 3                # a line of up to so many words ...
+    fragment_words: int = 10          # a line of up to so many words without an end mark is no sentence
     nav_separators: int = 2           # ... or with so many separators among its words is navigation
     min_kept_percent: int = 50        # words on lines that stay; below, the document goes
 
 
-SEPARATORS = "|»›·>/•"
+SEPARATORS = frozenset("|»›·>/•")
 TERMINAL = re.compile(r"[.!?…:;,\"'”’)\]»][\x20\x09-\x0D]*+\Z")
 SHOUTING = re.compile(r"[!?]{2,}|[#*$%&|<>]{3,}")     # runs of marks and of symbols
 BOILERPLATE = re.compile(
@@ -60,6 +61,8 @@ def line_verdict(line: str, p: RuleParams) -> str:
         return "navigation"
     if len(words) <= 20 and BOILERPLATE.search(line):
         return "boilerplate"
+    if len(words) <= p.fragment_words and not TERMINAL.search(line):
+        return "punctuation"
     if 2 * len(SHOUTING.findall(line)) > len(words):
         return "punctuation"
     return ""
@@ -96,7 +99,7 @@ def _repeats(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     head = (data & 0xC0) != 0x80
     chars = np.concatenate([[0], np.cumsum(head & B.WORD[data])])
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-    hashes = B.window_hashes(B.range_hashes(data, starts, ends), window, words=True)
+    hashes = B.window_hashes(B.word_hashes(data, starts, ends), window, words=True)
     whole = B.inside_rows(rows, window, len(starts))[:len(hashes)]
     owner = np.repeat(np.arange(n), np.diff(rows))[:len(hashes)]
     place = np.flatnonzero(whole)

@@ -75,11 +75,12 @@ _HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?
 _PATH = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1)"
 
 URLS = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, string_split({_HOST}, '.') AS l, string_split({_PATH}, '/') AS s,
+WITH p AS (SELECT page_id, {_HOST} AS host, string_split({_HOST}, '.') AS l, string_split({_PATH}, '/') AS s, {_PATH} AS path,
                   1704067200 + (page_id * 7919 % 525600) * 60 AS fetched_at FROM pages),
 k AS (SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
         ['d:' || array_to_string(l[i:], '.') for i in range(1, greatest(len(l) - 1, 1) + 1)],
-        ['p:' || host || array_to_string(s[1:i], '/') || '/' for i in range(1, greatest(len(s) - 1, 1) + 1)]))) AS entry
+        ['p:' || host || array_to_string(s[1:i], '/') || '/' for i in range(1, greatest(len(s) - 1, 1) + 1)],
+        ['u:' || host || CASE WHEN path = '' THEN '/' ELSE path END]))) AS entry
       FROM p),
 e AS (SELECT entry, ('0x' || substring(md5(entry), 1, 8))::BIGINT AS number FROM (SELECT DISTINCT entry FROM k)),
 c AS (SELECT entry, number, unnest(range(0, number % 4 + 1)) AS step FROM e),
@@ -104,6 +105,7 @@ judged AS (SELECT doc_id, line, len(w) AS n, CASE
     WHEN separators >= 2 AND 3 * separators >= len(w) THEN true
     WHEN len(w) <= 3 AND NOT regexp_matches(line, '[.!?…:;,"''”’)\]»][\x20\x09-\x0D]*$') THEN true
     WHEN len(w) <= 20 AND regexp_matches(line, '(?i)cookie|javascript|all rights reserved|terms of (?:use|service)|privacy policy|sign in|log in|subscribe|click here|read more|share this|lorem ipsum|home page') THEN true
+    WHEN len(w) <= 10 AND NOT regexp_matches(line, '[.!?…:;,"''”’)\]»][\x20\x09-\x0D]*$') THEN true
     WHEN 2 * len(regexp_extract_all(line, '[!?]{{2,}}|[#*$%&|<>]{{3,}}')) > len(w) THEN true ELSE false END AS bad FROM filled),
 l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, sum(CASE WHEN bad THEN 0 ELSE n END) AS left_over FROM judged GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(list_sum([length(x) for x in d.w]), 0) AS word_chars,

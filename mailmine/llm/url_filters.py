@@ -2,15 +2,16 @@
 
 List changes (an entry, a date, listed or cleared) become validity intervals; a capture is
 evaluated against the entries that were active when it was fetched. A capture looks up its
-host, every parent domain of two labels or more, and every directory prefix of its path, so the
-as-of join is an equi-join on the looked-up key with the fetch time inside the interval:
+host, every parent domain of two labels or more, every directory prefix of its path and the page
+itself (host and path without query), so the as-of join is an equi-join on the looked-up key with the fetch time inside the interval:
 nothing is compared with everything. A host may own a third of all captures: captures are dealt
 over ``salts`` per key and the list side is repeated for each salt.
 
 Defined results: a null url, or one without a host, matches nothing and is allowed; a null fetch
 time matches nothing; changes without entry or date are ignored; of several changes of an entry
 at one time listing wins; a repeated listing changes nothing; repeated captures are each
-evaluated; an empty list allows all. The most specific active entry decides (longest; then by text).
+evaluated; an empty list allows all. Hosts are
+compared in lower case without port and user; a trailing dot and percent signs stay as they are. The most specific active entry decides (longest; then by text).
 """
 
 from __future__ import annotations
@@ -31,17 +32,19 @@ def host_of(url: Column) -> Column:
 
 
 def lookup_keys(host: Column, url: Column) -> Column:
-    """host, its parent domains of two labels or more, and host/dir/ for each directory of the path."""
+    """host, its parent domains of two labels or more, host/dir/ for each directory of the path, and the page."""
 
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                           lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
-    parts = F.split(F.regexp_extract(url, PATH, 1), "/")
+    path = F.regexp_extract(url, PATH, 1)
+    parts = F.split(path, "/")
     depth = F.size(parts)
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))),
                            lambda i: F.concat(F.lit("p:"), host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    return F.array_distinct(F.concat(domains, prefixes))
+    page = F.array(F.concat(F.lit("u:"), host, F.when(path == "", F.lit("/")).otherwise(path)))
+    return F.array_distinct(F.concat(domains, prefixes, page))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
