@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 # fixed values: bytes that are not part of a word, by the two word definitions in use
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -56,6 +57,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)     # masks of the first k bytes
 _BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
 
 
@@ -101,6 +103,24 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, word
     return mix((prefix[ends] - prefix[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word data[start:end].
+
+    Up to 16 bytes are mixed as two numbers, longer words go through XXH3: unlike a polynomial
+    modulo 2^64, neither has word families that always collide."""
+
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))     # the 8 bytes from each place on
+    low = eight[starts] & _KEEP[np.minimum(size, 8)]
+    high = eight[starts + 8] & _KEEP[np.clip(size - 8, 0, 8)]
+    out = mix(mix(low ^ mix(size.astype(np.uint64) * np.uint64(_BYTE_BASE))) + high * np.uint64(_WORD_BASE))
+    view = memoryview(padded)
+    for k in np.flatnonzero(size > 16):
+        out[k] = xxhash.xxh3_64_intdigest(view[starts[k]:ends[k]])
+    return out
+
+
 def window_hashes(values: np.ndarray, size: int, words: bool = False) -> np.ndarray:
     """Hash of every run of ``size`` values, by start."""
 

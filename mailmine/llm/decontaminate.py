@@ -46,7 +46,7 @@ def lowered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
     data = B.LOWER[data]
     starts, ends, rows = B.word_bounds(data, offsets, B.ALNUM)
-    return B.range_hashes(data, starts, ends), rows
+    return B.word_hashes(data, starts, ends), rows
 
 
 def test_block(items: list[tuple[str, str]], window: int) -> Tests:
@@ -200,7 +200,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(max(len(m["hits"]) for m in marks), np.uint8)
             for m in marks:
                 bits[:len(m["hits"])] |= np.frombuffer(m["hits"], np.uint8)
-            items = sorted({i for m in marks for i in m["items"]})
+            items = sorted({i for m in marks for i in m["items"] if i is not None})
             n_hit = int(np.unpackbits(bits).sum())
             out.append((row["doc_id"], row["n_words"], n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(),
                         n_hit > 0, max(m["longest"] for m in marks), items))
@@ -219,7 +219,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     spark = docs.sparkSession
     prepare(spark)
     tests = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("words"))
-    tests = tests.where(F.col("item").isNotNull() & F.col("words").isNotNull())
+    tests = tests.where(F.col("words").isNotNull())
     size = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     rows = (carrying(docs) if carry else documents(docs)).withColumn("row", F.monotonically_increasing_id())

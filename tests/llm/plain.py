@@ -85,10 +85,10 @@ def contaminated(docs: list[tuple], items: list[tuple], window: int) -> list[tup
     for item, text in items:
         w = ALNUM.findall(lower(text or ""))
         n = min(window, len(w))
-        if n and item is not None:
+        if n:
             sizes.add(n)
             for p in range(len(w) - n + 1):
-                found[tuple(w[p:p + n])].add(str(item))
+                found[tuple(w[p:p + n])] |= {str(item)} - {"None"}
     out = []
     for doc, text in docs:
         w = ALNUM.findall(lower(text or ""))

@@ -8,15 +8,17 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 
+from mailmine.llm import bytesops as B
 from mailmine.llm import pieces as V
 from mailmine.llm import secrets as S
 from mailmine.llm.decontaminate import find_contamination
 from mailmine.llm.near_dedup import NearParams, find_near_duplicates, linked, sketch, without_near_copies
-from mailmine.llm.quality_model import ModelParams, fit_quality, score_quality
+from mailmine.llm.quality_model import ModelParams, descend, features, fit_quality, score_quality
 from mailmine.llm.quality_rules import clean_by_rules
 from mailmine.llm.substring_dedup import dedup_substrings
 from mailmine.llm.suffix_array import permuted_prefixes, suffix_array
@@ -174,6 +176,8 @@ def test_line_rules(spark):
     assert row[0]["clean_text"] == good + "\n" and row[0]["kept"]
     assert (row[0]["n_navigation"], row[0]["n_boilerplate"], row[0]["n_bad_punctuation"]) == (2, 1, 1)
     assert not row[1]["kept"]
+    fragments = clean_by_rules(frame(spark, [(1, "cheap shoes red blue green shop now\n" * 2 + "one two |» three four five |» six seven eight nine ten\n" + good)])).first()
+    assert (fragments["n_navigation"], fragments["n_bad_punctuation"]) == (0, 2) and not fragments["kept"]
 
 
 @pytest.mark.parametrize("docs", TABLES)
@@ -236,6 +240,65 @@ def test_max_plus_is_associative():
     assert (V.product(V.product(a, b), c) == V.product(a, V.product(b, c))).all()
 
 
+def test_words_that_collide_as_polynomials_are_told_apart(spark):
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    words = (bits, bits.translate(str.maketrans("ab", "ba")))
+    docs = [(k, f"{w} {' '.join(f'v{x}' for x in range(25))}") for k, w in enumerate(words)]
+    check(dedup_substrings(frame(spark, docs), 20), ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.substrings(docs, 20))
+    alone = [(k, w) for k, w in enumerate(words)]
+    check(find_near_duplicates(frame(spark, alone), NearParams()), ["doc_id", "n_shingles", "component_id", "kept"], plain.near(alone, 5, 80))
+    items = [(1, words[0])]
+    found = find_contamination(frame(spark, alone), spark.createDataFrame(items, "item_id long, text string"))
+    check(found, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], plain.contaminated(alone, items, 10))
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    r = random.Random(4)
+    words = list({bytes(r.choice(b"ab\x00\xff") for _ in range(r.randint(1, 40))) for _ in range(3000)})
+    found = {}
+    for order in (words, words[::-1]):
+        data = np.frombuffer(b" ".join(order), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in order]) - 1
+        for w, h in zip(order, B.word_hashes(data, ends - [len(w) for w in order], ends).tolist(), strict=True):
+            assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(words)
+
+
+def test_features_are_the_grams_of_words():
+    p = ModelParams()
+    texts = ["abc de", "", "the the the", "é ñandú x", "abc de"]
+    data, offsets = B.texts(pa.array(texts))
+    groups = [[b[x:y].tolist() for x, y in zip(s, e, strict=True)] for b, s, e in features(data, offsets, p)]
+    assert len(groups) == 1 + len(p.word_grams) + len(p.char_grams)
+    for k, text in enumerate(texts):
+        words = text.split()
+        want = [len(words), *(max(len(words) - n + 1, 0) for n in p.word_grams)]
+        want += [sum(" " not in text[i + 1:i + n - 1] for i in range(max(len(text) - n + 1, 0))) for n in p.char_grams]
+        assert [len(g[k]) for g in groups] == want
+    assert all(g[0] == g[4] for g in groups) and groups[1][2][0] == groups[1][2][1]
+    alone = [b.tolist() for b, _, _ in features(*B.texts(pa.array(texts[:1])), p)]
+    assert alone == [g[0] for g in groups]
+
+
+def test_descent_follows_the_gradient():
+    p = ModelParams(bucket_bits=4, dim=3, epochs=40, sample_rows=9)
+    samples = [(np.array([1, 2], np.int32), np.array([0.5, 0.5], np.float32), 1), (np.array([2, 3], np.int32), np.array([0.75, 0.25], np.float32), 0)] * 5
+    value = descend(samples, p)
+    score = [1 / (1 + np.exp(-(w @ value[b] + value[-1]))) for b, w, _ in samples[:2]]
+    assert score[0] > 0.6 and score[1] < 0.4
+    assert (value == descend(samples, p)).all() and not descend([], p).any()
+
+
+def test_clashing_labels_say_nothing_and_the_fit_repeats(spark):
+    from pyspark.sql import functions as F
+    docs = [(i, f"w{i % 7} v{i % 5} {'good' if i % 2 else 'bad'}") for i in range(60)] + [(3, "again the same id")]
+    marks = [(i, i % 2) for i in range(40)]
+    fit = lambda rows, **k: fit_quality(frame(spark, docs), spark.createDataFrame(rows, "doc_id long, quality int"), F.lit(True), ModelParams(**k))
+    model = fit(marks)
+    assert model == fit(marks[::-1] + marks) == fit([*marks, (50, 0), (50, 1)])
+    assert model != fit([*marks, (50, 0)]) and np.frombuffer(fit(marks, sample_bytes=1)).tolist() == [0.0]
+
+
 def test_classifier_separates_held_out_rows(spark):
     r = random.Random(2)
     good, bad = [f"good{i}" for i in range(80)], [f"bad{i}" for i in range(80)]
@@ -287,19 +350,80 @@ def test_secrets(spark):
     assert {r["doc_id"]: (r["n_access"], r["n_hex"]) for r in found}[2] == (2, 0)
 
 
+def key_forms() -> dict[str, tuple[str, str]]:
+    """One made-up key in many forms: the text and the kind it is found as."""
+
+    key = der(der(b"\x01", tag=2), der(bytes(range(1, 120)), tag=2), der(der(b"\x05", tag=2)), der(bytes(200), tag=4))
+    plain64 = base64.b64encode(key).decode()
+    lines = [plain64[k:k + 64] for k in range(0, len(plain64), 64)]
+    pem = "-----BEGIN KEY-----\n" + "\n".join(lines) + "\n-----END KEY-----\n"
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = string(b"ssh-rsa") + string(b"\x01\x00\x01") + string(bytes(64))
+    private = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(ssh) + string(bytes(90))
+    return {
+        "escaped": (pem.replace("\n", "\\n"), "pem"), "carriage": (pem.replace("\n", "\\r\\n"), "pem"), "wrapped": ("\n".join(lines), "der"),
+        "indented": ("\r\n    ".join(lines), "der"), "wrapped escaped": ("\\n".join(lines), "der"),
+        "twice": (base64.b64encode(pem.encode()).decode(), "pem"), "url": (base64.urlsafe_b64encode(key).decode().rstrip("="), "der"),
+        "hex pem": (pem.encode().hex(), "pem"), "hex der": (key.hex().upper(), "der"), "hex ssh": (ssh.hex(), "ssh"), "ssh": (base64.b64encode(ssh).decode(), "ssh"),
+        "private": (base64.b64encode(private).decode(), "ssh"),
+    }
+
+
+def test_forms_of_a_key_are_found_and_gone(spark):
+    forms = list(key_forms().values())
+    docs = []
+    for k, (form, _) in enumerate(forms):
+        docs += [(10 * k, form), (10 * k + 1, f"é before: {form}\nThe next line and more."), (10 * k + 2, f"MAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA\n{form}"),
+                 (10 * k + 3, form[:len(form) // 2]), (10 * k + 4, f"{form}\n\n{form}")]
+    found = {r["doc_id"]: r for r in S.scan_secrets(frame(spark, docs)).collect()}
+    for k, (form, kind) in enumerate(forms):
+        text = dict(docs)
+        for row, times in ((10 * k, 1), (10 * k + 1, 1), (10 * k + 2, 1), (10 * k + 4, 2)):
+            spans = [x.split(":") for x in found[row]["spans"].split(",") if x.startswith(kind)]
+            assert len(spans) == times, (form, row, found[row]["spans"])
+            for _, a, b in spans:
+                assert text[row][int(a):int(b)].strip() == form.strip().rstrip("\\rn")
+            assert form.strip()[20:60] not in found[row]["redacted"]
+        half = [x for x in found[10 * k + 3]["spans"].split(",") if x.startswith(("pem", "der", "ssh"))]
+        assert not half, (form, half)
+
+
+def every_key(text: str) -> list[tuple[str, int, int]]:
+    """Brute force for base64 and hex without line ends: every maximal run decoded whole."""
+
+    out = []
+    for pattern, decode in ((r"[A-Za-z0-9+/]+", lambda x: base64.b64decode(x + "=" * (-len(x) % 4))), (r"[0-9A-Fa-f]+", bytes.fromhex)):
+        for m in re.finditer(pattern, text):
+            try:
+                data = decode(m[0])
+            except ValueError:
+                continue
+            if len(data) >= 30 and (S.der_nested(data) or S.ssh_strings(data)):
+                out.append(("der" if data[0] == 0x30 else "ssh", m.start(), m.end() + len(re.match("=*", text[m.end():])[0])))
+    return out
+
+
+@pytest.mark.parametrize("docs", TABLES)
+def test_spans_against_every_run_decoded(spark, docs):
+    forms = key_forms()
+    docs = [*docs, *((1000 + k, f"x {forms[n][0]} y") for k, n in enumerate(("hex der", "hex ssh", "ssh"))), (1010, "MIIB" * 50_000), (1011, "30" * 90_000)]
+    want = sorted((str(d), S.joined(S.in_order(S.base_spans(t or "") + every_key(t or "")))) for d, t in docs)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in S.scan_secrets(frame(spark, docs)).collect()) == want
+
+
 def test_url_filters(spark):
     from datetime import datetime
     day = lambda d: datetime(2024, 1, d)
     changes = [("d:bad.example", day(2), True), ("d:bad.example", day(5), False), ("d:bad.example", day(8), True), ("d:bad.example", day(9), True),
-               ("p:ok.example/x/", day(3), True), ("p:ok.example/x/", day(3), False), ("d:never.example", day(1), False), (None, day(1), True), ("d:n.example", None, True)]
+               ("p:ok.example/x/", day(3), True), ("p:ok.example/x/", day(3), False), ("d:never.example", day(1), False), ("u:page.example/a/b.html", day(2), True), ("u:page.example/", day(2), True), (None, day(1), True), ("d:n.example", None, True)]
     pages = [(1, "http://a.bad.example/p", day(1)), (2, "https://A.BAD.example:8080/p", day(2)), (3, "http://bad.example", day(5)), (4, "http://u@bad.example?q", day(9)),
              (5, "http://ok.example/x/y/z.html", day(4)), (6, "http://ok.example/xy", day(4)), (7, None, day(4)), (8, "nonsense", day(4)), (9, "http://bad.example/", None),
-             (10, "http://never.example/", day(4)), (1, "http://a.bad.example/p", day(1))]
+             (10, "http://never.example/", day(4)), (11, "http://page.example/a/b.html?x=1", day(4)), (12, "http://page.example/a/b.htm", day(4)), (13, "http://page.example", day(4)), (1, "http://a.bad.example/p", day(1))]
     captures = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, fetched_at timestamp, entry string")
     table = spark.createDataFrame(changes, "entry string, at timestamp, listed boolean")
     found = filter_urls(captures, table).collect()
     assert sorted((r["page_id"], r["blocked"]) for r in found) == [
-        (1, False), (1, False), (2, True), (3, False), (4, True), (5, True), (6, False), (7, False), (8, False), (9, False), (10, False)]
+        (1, False), (1, False), (2, True), (3, False), (4, True), (5, True), (6, False), (7, False), (8, False), (9, False), (10, False), (11, True), (12, False), (13, True)]
     assert next(r for r in found if r["page_id"] == 4)["listed_at"] == day(8)
     assert filter_urls(captures, table.limit(0)).where("blocked").count() == 0
     assert filter_urls(captures.limit(0), table).count() == 0
