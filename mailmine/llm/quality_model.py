@@ -31,10 +31,10 @@ class ModelParams:
     sample_rows: int = 4000        # labelled rows the fit reads at most; nothing else is sampled
     sample_bytes: int = 256 << 20  # and at most so many bytes of their features
     word_grams: tuple[int, ...] = (2, 3)
-    bucket_bits: int = 20
+    bucket_bits: int = 18
     dim: int = 8
-    epochs: int = 15
-    rate: float = 0.5
+    epochs: int = 6
+    rate: float = 0.2
     char_grams: tuple[int, ...] = (3, 5)
     seed: int = 7
 
