@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailmine.functions.text import explode_ngrams
+from mailmine.session import cut_lineage
 
 
 def majority_labels(rows: DataFrame, group: str, labels: list[str], order: str = "row_id") -> DataFrame:
@@ -31,15 +35,66 @@ def majority_labels(rows: DataFrame, group: str, labels: list[str], order: str =
     return every.join(found, group, "left")
 
 
+SKETCH_ROWS = 2
+FLOOR_SHARE = 8      # one row in so many sets the floors
+
+
+def _cell(keys: list[str], row: int, counters: int) -> Column:
+    """The counter of a phrase of a group in one row of the sketch."""
+
+    return F.pmod(F.xxhash64(*keys, "phrase", F.lit(row)), F.lit(counters)).cast("int")
+
+
+def _slot(keys: list[str], counters: int) -> Column:
+    return F.pmod(F.xxhash64(*keys, F.lit("floor")), F.lit(counters)).cast("int")
+
+
+def likely_grams(rows: DataFrame, text: str, n: int, top_k: int, keys: list[str], order: str, counters: int) -> DataFrame:
+    """The n-grams that can be among the ``top_k`` of their group, with all their places.
+
+    Exact counts over a share of the rows are lower bounds of the counts over all, so their k-th
+    largest is a floor of the group. A count-min sketch of all n-grams never counts too little:
+    n-grams whose smallest counter is below the floor are left out before anything is shuffled
+    by phrase. Sketch and floors (the smallest of the groups in a slot) have at most
+    ``counters`` entries a row, whatever the input, and so go to every task.
+    """
+
+    some = rows.where(F.pmod(F.xxhash64(order), F.lit(FLOOR_SHARE)) == 0)
+    counted = explode_ngrams(some, text, n, keep=(*keys, order)).groupBy(*keys, "phrase").agg(F.count("*").alias("n"))
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc()))
+        floors = counted.withColumn("place", place).where(F.col("place") == top_k).select(*keys, F.col("n").alias("floor"))
+        # a group without a floor of its own must keep its slot at nothing
+        floors = rows.select(*keys).distinct().alias("g").join(
+            floors.alias("f"), reduce(and_, [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]), "left")
+        slots = floors.select(_slot([f"g.{k}" for k in keys], counters).alias("slot"), F.coalesce("floor", F.lit(0)).alias("floor"))
+    else:
+        best = counted.orderBy(F.col("n").desc()).limit(top_k)
+        slots = best.agg(F.when(F.count("*") == top_k, F.min("n")).otherwise(0).alias("floor")).select(_slot([], counters).alias("slot"), "floor")
+    slots = cut_lineage(slots.groupBy("slot").agg(F.min("floor").alias("floor")))
+    grams = explode_ngrams(rows, text, n, keep=(*keys, order))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), _cell(keys, i, counters).alias("cell")) for i in range(SKETCH_ROWS)]))
+    sketch = cut_lineage(grams.select(cells.alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("n")))
+    found = grams.withColumn("slot", _slot(keys, counters)).join(F.broadcast(slots), "slot")
+    for i in range(SKETCH_ROWS):
+        row = sketch.where(F.col("row") == i).select(F.col("cell").alias(f"cell{i}"), F.col("n").alias(f"n{i}"))
+        found = found.withColumn(f"cell{i}", _cell(keys, i, counters)).join(F.broadcast(row), f"cell{i}").where(F.col(f"n{i}") >= F.col("floor"))
+    return found.select(*keys, order, "position", "phrase")
+
+
 def top_phrases(rows: DataFrame, text: str, n: int = 3, top_k: int = 10, group: str | None = None,
-                order: str = "row_id") -> DataFrame:
+                order: str = "row_id", counters: int | None = 1 << 17) -> DataFrame:
     """The ``top_k`` most frequent word n-grams (per group); a tie goes to the phrase seen first.
 
-    Returns the group (if given), ``rank, phrase, n``.
+    Returns the group (if given), ``rank, phrase, n``. A sketch of ``counters`` entries prunes n-grams
+    that can not be among them (``likely_grams``); None counts all of them. The result is exact either way.
     """
 
     keys = [group] if group else []
-    grams = explode_ngrams(rows, text, n, keep=(*keys, order))
+    if counters:
+        grams = likely_grams(rows, text, n, top_k, keys, order, counters)
+    else:
+        grams = explode_ngrams(rows, text, n, keep=(*keys, order))
     # row and position in one number, so that the count stays a hash aggregate
     seen = F.col(order).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("position")
     counted = grams.groupBy(*keys, "phrase").agg(F.count("*").alias("n"), F.min(seen).alias("seen"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,19 @@ def test_a_run_knows_its_fitted_encoder(spark, two_topics, tmp_path):
     run.save(str(tmp_path))
     status = load_run(spark, str(tmp_path)).status().first()
     assert tuple(status) == (40, run.templates.count(), True)
+
+
+def test_pruned_phrases_are_exact(spark):
+    r = random.Random(11)
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:03}") for i in range(400)]
+    rows = [(i, None if i % 50 == 7 else i % 3, " ".join(r.choice(words if r.random() < 0.7 else words[:6]) for _ in range(40))) for i in range(600)]
+    rows += [(1000, 9, "a b c d"), (1001, 9, "b c d a"), (1002, 8, None), (1003, 8, "")]
+    df = spark.createDataFrame(rows, "row_id long, g int, t string").repartition(4)
+    for group, k in (("g", 5), (None, 10), ("g", 1)):
+        want = lb.top_phrases(df, "t", 2, k, group, counters=None).collect()
+        for counters in (1 << 14, 64):
+            assert sorted(map(str, lb.top_phrases(df, "t", 2, k, group, counters=counters).collect())) == sorted(map(str, want))
+    kept = lb.likely_grams(df, "t", 2, 10, [], "row_id", 1 << 14)
+    every = sum(max(0, len((t or "").split()) - 1) for _, _, t in rows)
+    assert kept.select("phrase").distinct().count() < 200 and kept.count() < every / 3
+    assert lb.top_phrases(df.limit(0), "t", 2, 5).count() == 0 and lb.top_phrases(df.limit(0), "t", 2, 5, "g").count() == 0
