@@ -17,13 +17,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.min("b").alias("low"))
-    lowest = lowest.select("a", F.least("a", "low").alias("low"))
+    lowest = cut_lineage(lowest.select("a", F.least("a", "low").alias("low")))
     linked = both.join(lowest, "a").where(F.col("b") > F.col("a"))
     return linked.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    lowest = edges.groupBy("a").agg(F.min("b").alias("low"))
+    lowest = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("low")))
     linked = edges.join(lowest, "a")
     moved = linked.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(lowest.select("a", F.col("low").alias("b"))).distinct()
@@ -33,8 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for the nodes of ``edges(a, b)``; the component is its smallest node.
 
     Alternates large-star and small-star steps. Each step is a minimum per node
-    (combined before the shuffle) joined back to the edges, so a node with very many
-    edges is one aggregate row and a join side adaptive execution can split.
+    (combined before the shuffle) joined back to the edges. The minima are written first:
+    the join then reads two plain sides, so that small minima are broadcast by the planner and
+    otherwise adaptive execution splits a node with very many edges, which it can not do where
+    one side is an aggregate of the same stage.
     """
 
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
