@@ -5,13 +5,15 @@ document is cut into chunks of ``chunk_chars`` code points. What a chunk has to
 neighbour is only how many of its first characters belong to a piece begun there: the boundary state, 0 up
 to the longest piece less one. Each chunk yields the matrix of best scores from every entering
 to every leaving state; max-plus products of the matrices are associative, so blocks of chunks
-are combined in parallel, the states at the block ends follow, then those at the chunk ends,
-and every chunk is traced back independently. Where a blank mark follows another
+are combined in parallel, and the best scores of the states before every block and every chunk follow. With them a
+chunk knows, for each state it may be left in, the state it was entered in: a map, and maps
+are composed from the right in the same two levels. Then every chunk is traced back independently. Where a blank mark follows another
 character no piece can cross (the vocabulary is tested for that), so paths meet there and
 each distinct part between two such places is solved once per worker.
 
 The pieces and scores are read from a given model file; nothing is trained. Characters
-without a piece become byte pieces. Ties go to the longest last piece, at chunk ends to the smaller state.
+without a piece become byte pieces. Ties go to the longest last piece, whatever the chunks: the ids do not
+depend on ``chunk_chars``.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded each by itself;
 further columns are ignored; an empty table gives an empty result. Decoding gives back the text
@@ -27,7 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailmine.llm import bytesops as B
@@ -38,7 +40,7 @@ CHUNK_CHARS = 1 << 15
 BLOCK = 256                 # chunk matrices of one block
 SHORT = 48                  # characters of parts solved together
 BLOCK_CHARS = 1 << 18       # characters solved at a time
-CACHE = 100_000             # parts a worker remembers
+CACHE = 250_000             # parts a worker remembers
 NEVER = -np.inf
 
 
@@ -62,11 +64,16 @@ class Vocabulary:
         blank, end = (BLANK, "\n") if alone else (BLANK, "")
         self.part = re.compile(("\n|" if alone else "") + f"{blank}+[^{blank}{end}]*|[^{blank}{end}]+" if meets else r"[\s\S]+")
         self.meet = re.compile(f"(?<=[^{BLANK}]){BLANK}" + (r"|\n|(?<=\n)[\s\S]" if alone else "")) if meets else re.compile(r"(?!)")
-        # text of an id where it does not depend on its neighbours
-        self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.names)]
-        self.joins = np.array([self.byte_of.get(i, 0) >= 128 for i in range(len(self.names))])
-        self.solved: dict[str, tuple[int, ...]] = {}
-        self.scores: dict[str, int] = {}
+        # the bytes of every id, end to end, and its score: a character without a piece counts once, at its first byte
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.names)]
+        self.raw, self.raw_sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.values = np.zeros(len(self.names), np.int64)
+        for score, i in self.pieces.values():
+            self.values[i] = score
+        for i, byte in self.byte_of.items():
+            self.values[i] = 0 if 0x80 <= byte < 0xC0 else self.unknown
+        self.solved: dict[str, bytes] = {}      # ids of a part, four bytes each
         # by length: hashes of the pieces in order, scores, ids, and which leading hash bits a piece or its beginning has
         self.tables = {}
         for size in range(1, self.longest + 1):
@@ -78,13 +85,19 @@ class Vocabulary:
             likely[B.window_hashes(begun, size)[::size] >> np.uint64(44)] = True
             self.tables[size] = hashes[order], np.array([float(r[1]) for r in rows])[order], np.array([r[2] for r in rows])[order], likely
 
-    def forward(self, text: str, start: int, stop: int) -> tuple[list, list]:
-        """Best score and best last start of every node, for pieces that begin in start..stop."""
+    def forward(self, text: str, start: int, stop: int, given: np.ndarray | None = None) -> tuple[list, list]:
+        """Best score and best last start of every node, for pieces that begin in start..stop.
+
+        ``given`` holds best scores of the first nodes over pieces from before the text; those have last start -1.
+        """
 
         begun, n, no = self.begun, len(text), 0
         best: list = [None] * (n + 1)
         back = [0] * (n + 1)
         best[start] = 0
+        if given is not None:
+            for i, score in enumerate(given.tolist()[:n + 1]):
+                best[i], back[i] = None if score == NEVER else score, -1
         for i in range(start, stop):
             score = best[i]
             if score is None:
@@ -113,9 +126,9 @@ class Vocabulary:
             out += [found[1]] if found else [self.bytes[x] for x in text[a:b].encode()]
         return out
 
-    def solve(self, part: str) -> tuple[int, tuple[int, ...]]:
-        best, back = self.forward(part, 0, len(part))
-        return best[-1], tuple(self.trace(part, back, 0, len(part)))
+    def solve(self, part: str) -> bytes:
+        _, back = self.forward(part, 0, len(part))
+        return np.array(self.trace(part, back, 0, len(part)), np.int32).tobytes()
 
     def solve_many(self, parts: list[str]) -> None:
         """``solve`` for many short parts at once: one step of the recursion is an array step over all parts."""
@@ -173,25 +186,22 @@ class Vocabulary:
         owner, ids = np.concatenate(found_at[::-1]), np.concatenate(found_ids[::-1])
         order = np.argsort(owner, kind="stable")
         unknown = owner[ids < 0]
-        ids, cuts = ids[order].tolist(), np.searchsorted(owner[order], np.arange(len(parts) + 1)).tolist()
-        totals = best[nodes + lengths].tolist()
-        self.solved |= zip(parts, [tuple(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        self.scores |= zip(parts, map(int, totals))
+        raw, cuts = ids[order].astype(np.int32).tobytes(), (4 * np.searchsorted(owner[order], np.arange(len(parts) + 1))).tolist()
+        self.solved |= zip(parts, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         # characters without a piece become bytes: those parts are few
         for k in np.unique(unknown).tolist():
-            self.scores[parts[k]], self.solved[parts[k]] = self.solve(parts[k])
+            self.solved[parts[k]] = self.solve(parts[k])
 
     def encode(self, marked: str) -> tuple[int, list[int]]:
         """Best score and ids of a text that has its blank marks."""
 
-        total = [0]
-        ids = self.encode_texts([marked], total)[0]
-        return total[0], ids
+        ids = np.frombuffer(self.encode_texts([marked])[0], np.int32)
+        return int(self.values[ids].sum()), ids.tolist()
 
-    def encode_texts(self, texts: list[str], totals: list[int] | None = None) -> list[list[int]]:
-        """Ids of many texts; their distinct parts are solved together, a bounded number at a time. Scores are added to ``totals``."""
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of many texts, four bytes each; their distinct parts are solved together, a bounded number at a time."""
 
-        out: list[list[int]] = [[] for _ in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -199,27 +209,24 @@ class Vocabulary:
                 held.append((k, self.part.findall(block)))
                 size += len(block)
                 if size >= BLOCK_CHARS:
-                    self._finish(held, out, totals)
+                    self._finish(held, out)
                     held, size = [], 0
-        self._finish(held, out, totals)
-        return out
+        self._finish(held, out)
+        return [b"".join(x) for x in out]
 
-    def _finish(self, held: list[tuple[int, list[str]]], out: list[list[int]], totals: list[int] | None) -> None:
+    def _finish(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         wanted = set(chain.from_iterable(parts for _, parts in held))
         new = wanted - self.solved.keys()
         if len(self.solved) + len(new) > CACHE:
             self.solved.clear()
-            self.scores.clear()
             new = wanted
         if short := [p for p in new if len(p) <= SHORT]:
             self.solve_many(short)
         for part in new:
             if len(part) > SHORT:
-                self.scores[part], self.solved[part] = self.solve(part)
+                self.solved[part] = self.solve(part)
         for k, parts in held:
-            out[k] += chain.from_iterable(map(self.solved.__getitem__, parts))
-            if totals is not None:
-                totals[k] += sum(map(self.scores.__getitem__, parts))
+            out[k].append(b"".join(map(self.solved.__getitem__, parts)))
 
     def blocks(self, marked: str) -> Iterator[str]:
         """Stretches of a text between places where paths meet, so that what is solved at once stays bounded."""
@@ -253,6 +260,24 @@ class Vocabulary:
             out[i, :len(leave)] = self.forward(text[:first], i, first)[0][first] + middle + leave
         return out
 
+    def enters(self, text: str, n: int, given: np.ndarray) -> np.ndarray:
+        """The entering state that belongs to each leaving state, given the best scores of the entering states."""
+
+        m = self.longest
+        out = np.zeros(m, np.int32)
+        first = next((x.start() for x in self.meet.finditer(text, 0, n) if x.start() >= m - 1), None)
+        if first is None:
+            best, back = self.forward(text, 0, n, given)
+            ends = [(k, n + k) for k in range(m) if n + k <= len(text) and best[n + k] is not None]
+        else:
+            _, back = self.forward(text[:first], 0, first, given)
+            ends = [(slice(None), first)]
+        for k, at in ends:
+            while back[at] >= 0:
+                at = back[at]
+            out[k] = at
+        return out
+
     def between(self, text: str, n: int, enter: int, leave: int) -> list[int]:
         """Ids of the pieces that begin in a chunk, given its two states."""
 
@@ -266,21 +291,14 @@ class Vocabulary:
         return [*self.trace(text[:first], head, enter, first), *self.encode(text[first:last])[1],
                 *self.trace(text[last:], tail, 0, n - last + leave)]
 
-    def decode(self, ids: list[int]) -> str:
-        if not self.joins[ids].any():
-            return "".join([self.plain[i] for i in ids])[1:]
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.names[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(BLANK, " ")
-        return text[1:]
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids, out = np.asarray(ids, np.int64), []
+        for at in range(0, len(ids), BLOCK_CHARS):
+            block = ids[at:at + BLOCK_CHARS]
+            sizes = self.raw_sizes[block]
+            shift = self.raw_starts[block] - np.cumsum(sizes) + sizes
+            out.append(self.raw[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes())
+        return b"".join(out).decode("utf-8", "replace")[1:]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -302,16 +320,21 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
-    """The states before, between and after the matrices on the best path; ties go to the smaller state."""
+def befores(matrices: list[np.ndarray], given: np.ndarray) -> list[np.ndarray]:
+    """Best scores of the states before each matrix, from those before the first."""
+
+    out = [given]
+    for m in matrices[:-1]:
+        out.append((out[-1][:, None] + m).max(axis=0))
+    return out
+
+
+def entered(maps: list[np.ndarray], leave: int) -> list[int]:
+    """The states before, between and after the maps, from the last one."""
 
-    reach = [np.full(len(matrices[0]), NEVER)]
-    reach[0][enter] = 0
-    for m in matrices:
-        reach.append((reach[-1][:, None] + m).max(axis=0))
     out = [leave]
-    for r, m in zip(reach[-2::-1], matrices[::-1], strict=True):
-        out.append(int(np.argmax(r + m[:, out[-1]])))
+    for m in maps[::-1]:
+        out.append(int(m[out[-1]]))
     return out[::-1]
 
 
@@ -319,11 +342,10 @@ OUT = "doc_id bigint, n_chars bigint, n_chunks int, n_tokens bigint, ids_sha256
 OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
-def _row(v: Vocabulary, doc_id: int | None, text: str | None, n_chunks: int, ids: list[int], with_ids: bool) -> tuple:
-    text = text or ""
-    packed = np.array(ids, np.int32)
-    return (doc_id, len(text), n_chunks, len(ids), hashlib.sha256(packed.tobytes()).hexdigest(),
-            v.decode(ids) == text.replace(BLANK, " ") if ids else not text, packed if with_ids else None)
+def _row(v: Vocabulary, doc_id: int | None, text: str | None, n_chunks: int, raw: bytes, with_ids: bool) -> tuple:
+    text, ids = text or "", np.frombuffer(raw, np.int32)
+    return (doc_id, len(text), n_chunks, len(ids), hashlib.sha256(raw).hexdigest(),
+            v.decode(ids) == text.replace(BLANK, " ") if raw else not text, ids if with_ids else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -369,32 +391,68 @@ def _matrices(path: str):
     return run
 
 
-def _loaded(table: pa.Table, by: str) -> tuple[pa.Table, list[np.ndarray]]:
+def _loaded(table: pa.Table, by: str, column: str, kind: type = np.float64) -> tuple[pa.Table, list[np.ndarray]]:
     table = table.sort_by(by)
-    found = [np.frombuffer(x.as_py()) for x in table.column("matrix")]
-    return table, [x.reshape(int(len(x) ** 0.5), -1) for x in found]
+    return table, [np.frombuffer(x.as_py(), kind) for x in table.column(column)]
+
+
+def _square(found: list[np.ndarray]) -> list[np.ndarray]:
+    return [x.reshape(int(len(x) ** 0.5), -1) for x in found]
 
 
 def _combine(table: pa.Table) -> pa.Table:
     """The product of the matrices of a block."""
 
-    table, found = _loaded(table, "chunk")
-    total = found[0]
-    for m in found[1:]:
+    table, found = _loaded(table, "chunk", "matrix")
+    total, *others = _square(found)
+    for m in others:
         total = product(total, m)
     return pa.table({"key": table.column("key")[:1], "block": table.column("block")[:1], "matrix": pa.array([total.tobytes()], pa.binary())})
 
 
-def _block_states(table: pa.Table) -> pa.Table:
-    table, found = _loaded(table, "block")
-    at = states(found, 0, 0)
+def _block_befores(table: pa.Table) -> pa.Table:
+    table, found = _loaded(table, "block", "matrix")
+    found = _square(found)
+    given = np.full(len(found[0]), NEVER)
+    given[0] = 0
     return pa.table({"key": table.column("key"), "block": table.column("block"),
-                     "enter": pa.array(at[:-1], pa.int32()), "leave": pa.array(at[1:], pa.int32())})
+                     "before": pa.array([x.tobytes() for x in befores(found, given)], pa.binary())})
+
+
+def _chunk_befores(table: pa.Table) -> pa.Table:
+    table, found = _loaded(table, "chunk", "matrix")
+    given = np.frombuffer(table.column("before")[0].as_py())
+    return pa.table({"key": table.column("key"), "chunk": table.column("chunk"),
+                     "before": pa.array([x.tobytes() for x in befores(_square(found), given)], pa.binary())})
+
+
+def _maps(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            found = [v.enters(r["text"], r["n"], np.frombuffer(r["before"])).tobytes() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(found, pa.binary())], names=["key", "chunk", "map"])
+    return run
+
+
+def _composed(table: pa.Table) -> pa.Table:
+    """The map of a block: from the state it is left in to the state it was entered in."""
+
+    table, found = _loaded(table, "chunk", "map", np.int32)
+    total = found[-1]
+    for m in found[-2::-1]:
+        total = m[total]
+    return pa.table({"key": table.column("key")[:1], "block": table.column("block")[:1], "map": pa.array([total.tobytes()], pa.binary())})
+
+
+def _block_leaves(table: pa.Table) -> pa.Table:
+    table, found = _loaded(table, "block", "map", np.int32)
+    return pa.table({"key": table.column("key"), "block": table.column("block"), "leave": pa.array(entered(found, 0)[1:], pa.int32())})
 
 
 def _chunk_states(table: pa.Table) -> pa.Table:
-    table, found = _loaded(table, "chunk")
-    at = states(found, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
+    table, found = _loaded(table, "chunk", "map", np.int32)
+    at = entered(found, table.column("leave")[0].as_py())
     return pa.table({"key": table.column("key"), "chunk": table.column("chunk"),
                      "enter": pa.array(at[:-1], pa.int32()), "leave": pa.array(at[1:], pa.int32())})
 
@@ -418,10 +476,14 @@ def _gathered(path: str, with_ids: bool):
             for row in batch.to_pylist():
                 parts = sorted(row["parts"], key=lambda x: x["chunk"])
                 text = "".join(x["text"] for x in parts)[1:].replace(BLANK, " ")
-                yield _batch([_row(v, row["doc_id"], text, len(parts), [i for x in parts for i in x["ids"]], with_ids)])
+                yield _batch([_row(v, row["doc_id"], text, len(parts), np.array([i for x in parts for i in x["ids"]], np.int32).tobytes(), with_ids)])
     return run
 
 
+def _block() -> Column:
+    return F.floor(F.col("chunk") / BLOCK).cast("int")
+
+
 def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, with_ids: bool = True) -> DataFrame:
     """One row per document: ids (if asked for), their number and digest, and whether decoding gives the text."""
 
@@ -433,11 +495,15 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     large = docs.where(giant).withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text")
     chunks, _ = keep(large.mapInArrow(_cut(path, chunk_chars), "key bigint, doc_id bigint, chunk int, n int, text string"), "chunks")
     found = chunks.select("key", "chunk", "n", "text").mapInArrow(_matrices(path), "key bigint, chunk int, matrix binary")
-    matrices, _ = keep(found.withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int")), "matrices")
+    matrices, _ = keep(found.withColumn("block", _block()), "matrices")
     blocks = matrices.groupBy("key", "block").applyInArrow(_combine, "key bigint, block int, matrix binary")
-    ends = blocks.groupBy("key").applyInArrow(_block_states, "key bigint, block int, enter int, leave int")
-    inner = matrices.join(ends, ["key", "block"]).groupBy("key", "block").applyInArrow(_chunk_states, "key bigint, chunk int, enter int, leave int")
-    ready, _ = keep(inner, "states")
+    starts = blocks.groupBy("key").applyInArrow(_block_befores, "key bigint, block int, before binary")
+    befores_ = matrices.join(starts, ["key", "block"]).groupBy("key", "block").applyInArrow(_chunk_befores, "key bigint, chunk int, before binary")
+    mapped = chunks.join(befores_, ["key", "chunk"]).select("key", "chunk", "n", "text", "before").mapInArrow(_maps(path), "key bigint, chunk int, map binary")
+    maps, _ = keep(mapped.withColumn("block", _block()), "maps")
+    steps = maps.groupBy("key", "block").applyInArrow(_composed, "key bigint, block int, map binary")
+    ends = steps.groupBy("key").applyInArrow(_block_leaves, "key bigint, block int, leave int")
+    ready, _ = keep(maps.join(ends, ["key", "block"]).groupBy("key", "block").applyInArrow(_chunk_states, "key bigint, chunk int, enter int, leave int"), "states")
     traced = chunks.join(ready, ["key", "chunk"]).mapInArrow(_traced(path), "key bigint, doc_id bigint, chunk int, text string, ids array<int>")
     rows = traced.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("chunk", "text", "ids")).alias("parts"))
     return small.union(rows.drop("key").mapInArrow(_gathered(path, with_ids), OUT))
