@@ -89,9 +89,25 @@ def encoder_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return training.compare_encoders(rows, training.fit_encoder(rows, "tfidf"))
 
 
-@query("encoder_fit")
+@query(
+    "encoder_fit",
+    f"""WITH {d.TEXTS_CTE} SELECT row_id, CAST({lx.EMBED_DIM} AS INTEGER) AS n_dims,
+  CASE WHEN trim(combined_text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM texts""",
+)
 def encoder_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the mails, save, load again and encode."""
+    """Fit on the mails and their training pairs, save, load again and encode: every row keeps a vector of unit length."""
+
+    rows = _mail_texts(spark, sf)
+    path = scratch_path(spark, "encoder")
+    training.fit_encoder(rows, "cooccurrence", path=path, pairs=cut_lineage(training.training_set(rows)))
+    found = en.resolve_encoder(spark, path).encode(rows, "combined_text").select("row_id", "embedding")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return found.select("row_id", F.size("embedding").alias("n_dims"), F.round(norm, 4).alias("norm"))
+
+
+@query("encoder_fit_word2vec")
+def encoder_fit_word2vec(spark: SparkSession, sf: str) -> DataFrame:
+    """Word vectors of Spark ML: fit on the mails, save, load again and encode."""
 
     rows = _mail_texts(spark, sf)
     path = scratch_path(spark, "encoder")

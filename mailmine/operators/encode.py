@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailmine.functions import lexicon as lx
+from mailmine.operators.cooccurrence import KIND, load_cooccurrence
 from mailmine.operators.vector_store import VectorStore
 
 
@@ -143,10 +145,12 @@ def resolve_encoder(spark: SparkSession, path: str | None = None, base=None):
     if path is None:
         return base
     try:
-        found = spark.read.text(f"{path.rstrip('/')}/metadata").limit(1).count() > 0
+        note = spark.read.text(f"{path.rstrip('/')}/metadata").first()
     except AnalysisException:
-        found = False
-    return load_encoder(path, f"{base.name}-ft-{_model_digest(spark, path)}") if found else base
+        note = None
+    if note is not None and json.loads(note["value"]).get("kind") == KIND:
+        return load_cooccurrence(spark, path)
+    return load_encoder(path, f"{base.name}-ft-{_model_digest(spark, path)}") if note is not None else base
 
 
 def _model_digest(spark: SparkSession, path: str) -> str:
