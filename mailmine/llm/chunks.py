@@ -9,7 +9,7 @@ follows the size of the input.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +152,16 @@ def answers(table: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
 ASK = "chunk bigint, shard int, payload binary"
 
 
+def asking(chunk: int, payloads: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """All a chunk asks, one row a shard, as one batch: shards grow with the input, batches must not."""
+
+    dealt = list(payloads)
+    if dealt:
+        to, data = zip(*dealt, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(dealt), pa.int64()), pa.array(to, pa.int32()), pa.array(data, pa.binary())],
+                                         names=["chunk", "shard", "payload"])
+
+
 def answered(asks: DataFrame, answer: Callable[[pa.Table], pa.Table], name: str) -> DataFrame:
     """(chunk, <name>): the answers to each chunk, collected; they are bits for its own keys. Written."""
 
