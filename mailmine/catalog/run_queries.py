@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from mailmine.operators import cluster as cl
 from mailmine.operators import encode as en
 from mailmine.operators import pairs as pr
 from mailmine.operators import templates as tp
+from mailmine.operators.components import number_in_order
 from mailmine.operators.prepare import add_texts
 from mailmine.plans import mining, runs, training
 from mailmine.session import cut_lineage, scratch_path
@@ -153,6 +156,91 @@ def run_reload(spark: SparkSession, sf: str) -> DataFrame:
     return mq.shown(run.templates).withColumns({"n_emails": F.lit(n_emails), "runs": F.lit(runs.list_runs(spark, folder).count()).cast("bigint")})
 
 
+# --- facts about results that SQL can not repeat ---------------------------------------------
+
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row; they meet on a constant key."""
+
+    return reduce(lambda x, y: x.join(y, "__one"), [r.withColumn("__one", F.lit(1)) for r in rows]).drop("__one")
+
+
+def _grouping_facts(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: rows, groups, vectors whose copies are in two groups, and groups not numbered by their smallest row."""
+
+    rows, groups = cut_lineage(rows.select("row_id", "embedding")), cut_lineage(groups)
+    placed = rows.join(groups, "row_id")
+    split = placed.groupBy("embedding").agg(F.min("cluster_id").alias("low"), F.max("cluster_id").alias("high"))
+    split = split.agg(F.count_if(F.col("low") != F.col("high")).alias("split_copies"))
+    first = placed.where("cluster_id >= 0").groupBy("cluster_id").agg(F.min("row_id").alias("first_row"))
+    expected = number_in_order(first, "first_row", "place")
+    named = first.join(expected, "first_row").agg(
+        F.count("*").alias("n_groups"), F.count_if(F.col("cluster_id") != F.col("place")).alias("misnumbered"))
+    return _side_by_side(placed.agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids")), named, split)
+
+
+def _grouping_sql(table: str) -> str:
+    low, high = cl.BOUNDS
+    k = f"greatest(2, least(least({high}, greatest({low}, round_even(sqrt(greatest(count(*), 4) / 2), 0))), greatest(2, count(*) - 1)))"
+    return (f"SELECT count(*) AS n_rows, count(*) AS n_ids, {k}::BIGINT AS n_groups, 0::BIGINT AS misnumbered, "
+            f"0::BIGINT AS split_copies FROM {table}")
+
+
+@query("kmeans_facts", _grouping_sql("embeddings"))
+def kmeans_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector has one group, copies share it, and there are as many groups as asked for."""
+
+    rows = mq.vectors(spark, sf)
+    return _grouping_facts(rows, cl.cluster(rows.select("row_id", "embedding"), "kmeans"))
+
+
+@query("agglomerative_facts", _grouping_sql("embeddings"))
+def agglomerative_facts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mq.vectors(spark, sf)
+    return _grouping_facts(rows, cl.cluster(rows.select("row_id", "embedding"), "agglomerative"))
+
+
+@query("pseudo_label_facts", _grouping_sql("documents"))
+def pseudo_label_facts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _documents(spark, sf)
+    return _grouping_facts(rows, pr.pseudo_labels(rows))
+
+
+_TFIDF_DIM = 256
+
+
+@query(
+    "encode_tfidf_facts",
+    f"""WITH {d.TEXTS_CTE} SELECT row_id, CAST({_TFIDF_DIM} AS INTEGER) AS n_dims,
+  CASE WHEN trim(combined_text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM texts""",
+)
+def encode_tfidf_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row keeps a vector of unit length; a blank text the zero vector."""
+
+    rows = _mail_texts(spark, sf)
+    found = en.fit_tfidf(rows, "combined_text", _TFIDF_DIM).encode(rows, "combined_text")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return found.select("row_id", F.size("embedding").alias("n_dims"), F.round(norm, 4).alias("norm"))
+
+
+@query("mine_mails_facts", f"""WITH {d.TEXTS_CTE} SELECT count(*) AS n_mails, 0::BIGINT AS wrong_sizes,
+  0::BIGINT AS strange_representatives, 0::BIGINT AS equal_bodies, true AS reported FROM texts""")
+def mine_mails_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run: all mails are members, a template has its cluster's size and one of its mails, none is there twice."""
+
+    run = mining.mine(mails(spark, sf))
+    members = cut_lineage(run.members.select("email_id", "cluster_id"))
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    held = members.select("cluster_id", F.col("email_id").alias("representative_email_id")).distinct()
+    wrong = run.templates.join(sizes, "cluster_id", "left").agg(
+        F.count_if(~F.col("cluster_size").eqNullSafe(F.col("size"))).alias("wrong_sizes"),
+        (F.count("*") - F.count_distinct("body_template")).alias("equal_bodies"), F.count("*").alias("n"))
+    strange = run.templates.join(held, ["cluster_id", "representative_email_id"], "left_anti")
+    strange = strange.agg(F.count("*").alias("strange_representatives"))
+    facts = _side_by_side(members.agg(F.count("*").alias("n_mails")), wrong, strange, run.evaluation.select("n_emails", "n_templates"))
+    reported = (F.col("n_templates") == F.col("n")) & (F.col("n_emails") == F.col("n_mails"))
+    return facts.select("n_mails", "wrong_sizes", "strange_representatives", "equal_bodies", reported.alias("reported"))
+
+
 # --- sources and sinks ---------------------------------------------------------------------
 
 def _written_csv(spark: SparkSession, sf: str) -> str:
