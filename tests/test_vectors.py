@@ -292,3 +292,34 @@ def test_match_gives_as_many_as_asked(spark):
     mails = spark.createDataFrame([(1, "subject 3", "body of w3")], "row_id long, subject string, body string")
     found = mt.match(mails, mt.encode_templates(templates), top_k=10).orderBy("rank").collect()
     assert [r["rank"] for r in found] == list(range(1, 11)) and found[0]["cluster_id"] == 3
+
+
+def test_average_linkage_of_few_groups_needs_no_distributed_rounds(spark, monkeypatch):
+    searches, search = [], cl._nearest_groups
+    monkeypatch.setattr(cl, "_nearest_groups", lambda *a: searches.append(1) or search(*a))
+    angle = 0.01 * 1.4 ** np.arange(12)   # one merge a round
+    chain = unit(np.c_[np.cos(angle), np.sin(angle)])
+    cl.agglomerative(frame(spark, chain), 3).collect()
+    assert not searches
+    v = blobs(4, 10, 0.6)
+    whole = sorted(map(tuple, cl.agglomerative(frame(spark, v), 5).collect()))
+    assert not searches
+    for last in (1, 12):   # all rounds, and the first ones, on tables
+        monkeypatch.setattr(cl, "LAST_GROUPS", last)
+        assert sorted(map(tuple, cl.agglomerative(frame(spark, v), 5).collect())) == whole
+    assert searches
+
+
+def test_best_target_is_found_without_rounding_all_products(monkeypatch):
+    monkeypatch.setattr(sm, "SCORES", 64)
+    rng = np.random.default_rng(5)
+    queries, targets = unit(rng.normal(size=(50, 4))), unit(rng.normal(size=(30, 4)))
+    targets[20:] = targets[:10] + rng.normal(scale=1e-12, size=(10, 4))   # equal after rounding
+    queries[:10] = targets[:10]
+    hide = np.where(np.arange(50) % 3 == 0, np.arange(50) % 30, -1)
+    scores = sm.similarities(queries, targets)
+    scores[np.flatnonzero(hide >= 0), hide[hide >= 0]] = -np.inf
+    place, sim = sm.closest_rows(queries, targets, hide)
+    assert (place == scores.argmax(axis=1)).all() and (sim == scores.max(axis=1)).all()
+    place, sim = sm.closest_rows(queries[:1], targets[:1], np.array([0]))
+    assert sim[0] == -np.inf
