@@ -30,11 +30,11 @@ def _argmax_label(scores: dict[str, Column], default: str) -> Column:
 
 
 def add_scores(df: DataFrame, text: str, prefix: str = "score_") -> DataFrame:
-    """One integer column per marker set, computed in one narrow projection."""
+    """One integer column per marker set, computed in one narrow stage; the text is lower-cased once, not once a set."""
 
-    lowered = F.lower(F.col(text))
     sets = {"positive": lx.POSITIVE_WORDS, "negative": lx.NEGATIVE_WORDS, **lx.TONE_MARKERS}
-    return df.withColumns({prefix + n: marker_hits(lowered, words) for n, words in sets.items()})
+    lowered = df.withColumn("__lowered", F.lower(F.col(text)))
+    return lowered.withColumns({prefix + n: marker_hits(F.col("__lowered"), words) for n, words in sets.items()}).drop("__lowered")
 
 
 def add_sentiment(df: DataFrame, text: str, sentiment: str = "sentiment", tone: str = "tone",
