@@ -40,12 +40,17 @@ def greeting_template(text: Column) -> Column:
 def closing_template(text: Column) -> Column:
     """The first closing followed by a name becomes title-cased closing plus sender slot."""
 
-    pattern = F.lit(java(lx.TEMPLATE_CLOSING, ignore_case=True))
-    whole = F.regexp_substr(text, pattern)
-    word = F.regexp_extract(text, java(lx.TEMPLATE_CLOSING, ignore_case=True), 1)
-    signed = F.concat(F.initcap(word), F.lit(",\n" + lx.SENDER_TEXT))
-    swapped = F.overlay(text, signed, F.regexp_instr(text, pattern), F.length(whole))
-    return F.when(whole.isNull(), text).otherwise(swapped)
+    pattern = java(lx.TEMPLATE_CLOSING, ignore_case=True)
+
+    def signed(parts: Column) -> Column:
+        before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        whole = F.substring(text, F.length(before) + 1, F.length(text) - F.length(before) - F.length(after))
+        word = F.regexp_extract(whole, pattern, 1)
+        return F.when(F.size(parts) < 2, text).otherwise(F.concat(before, F.initcap(word), F.lit(",\n" + lx.SENDER_TEXT), after))
+
+    # the text is searched once: what stands before and after the first closing tells the rest
+    around = F.array(F.split(text, pattern, 2))
+    return F.when(text.isNotNull(), F.get(F.transform(around, signed), F.lit(0)))
 
 
 def add_body_template(df: DataFrame, body: str, out: str) -> DataFrame:
