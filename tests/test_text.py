@@ -223,3 +223,31 @@ def test_email_rule_equals_the_fixed_pattern(spark):
     texts = ["".join(rng.choice("ab.-_@ é\n") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     pattern, ignore, replacement = ph.RULES["email"]
     assert run(spark, texts, lambda c: ph.apply_rule(c, "email")) == run(spark, texts, lambda c: t.substitute(c, pattern, replacement, ignore))
+
+
+def test_a_text_is_lower_cased_once_for_all_marker_sets(spark):
+    rows = spark.createDataFrame([("URGENT: thanks, we regret the delay",), (None,)], "text string")
+    scored = tn.add_scores(rows, "text")
+    assert str(scored._jdf.queryExecution().optimizedPlan()).count("lower(") == 1
+    assert scored.columns[0] == "text" and "__lowered" not in scored.columns
+    found = scored.collect()
+    assert (found[0]["score_urgent"], found[0]["score_positive"], found[0]["score_apologetic"]) == (1, 1, 1)
+    assert found[1]["score_urgent"] is None
+
+
+def test_closing_template_after_characters_beyond_the_first_plane(spark):
+    rows = [("Hi \U0001f600\U0001f600\n\nbest regards,\n\nBob Smith\nregards,\nAnn",), ("thanks\nBob",), ("no closing",), ("",), (None,)]
+    texts = spark.createDataFrame(rows, "text string")
+    found = [r[0] for r in texts.select(ph.closing_template(F.col("text"))).collect()]
+    assert found == ["Hi \U0001f600\U0001f600\n\nBest Regards,\n{sender_name}\nregards,\nAnn", "Thanks,\n{sender_name}", "no closing", "", None]
+
+
+def test_mails_of_a_large_table_are_dealt_over_many_tasks(spark, monkeypatch):
+    from mailmine.catalog import tables as tb
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 2)
+    assert tb.dealt(rows, 1000, "id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(tb, "MAIL_ROWS", 20)
+    spread = tb.dealt(rows.join(rows.groupBy("k").count(), "k"), 1000, "id")
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 60 and spread.rdd.getNumPartitions() == 50
