@@ -31,6 +31,14 @@ def test_hashed_word2vec_is_loaded_again(spark, tmp_path):
     assert again == fitted.encode(df, "t").orderBy("row_id").collect() and all(any(r["embedding"]) for r in again)
 
 
+def test_word2vec_words_keep_their_own_vectors_however_many(spark):
+    n = (1 << 16) + 4_464
+    words = "transform(sequence(0, 19), i -> concat('w', cast(id * 10 + i % 10 as string)))"
+    df = spark.range(n // 10).selectExpr(f"array_join({words}, ' ') AS t")
+    vectors = en.fit_word2vec(df, "t", dim=2).model.stages[-2].getVectors()
+    assert vectors.count() == n and vectors.where("word = 'w0'").count() == 1
+
+
 def test_lines_are_split_once_for_the_closing(spark):
     df = spark.createDataFrame([("a\n\nThanks,\nB\nRegards\nx\ny",)], "s string").select(t.extract_closing(F.col("s")).alias("c"))
     plan = df._jdf.queryExecution().analyzed().toString()
