@@ -101,6 +101,51 @@ def test_tiles_meet_each_pair_once(spark, monkeypatch, tile):
     assert {r["n"] for r in counted.groupBy("id").agg(F.sum("near").alias("n")).collect()} == {200}
 
 
+def test_groups_compare_only_the_blocks_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", 25)
+    rows = _dense(spark, 200).select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("weight"))
+    tree = bl.plant(rows)
+    own = tree.leaves.select(F.col("block").alias("lb"), F.col("block").alias("rb"))
+    counted = bl.near_blocks(tree.rows, tree.rows, own, lambda l, r: cl._count_near(l, r, 0.5), "id long, near long", tiles=True)
+    found = counted.join(tree.rows, "id").join(tree.leaves, "block").select("near", "size").collect()
+    assert len(found) == 200 and all(r["near"] == r["size"] for r in found)
+
+
+def _side(points):
+    return pd.DataFrame({"id": np.arange(len(points)), "vec": list(points), "weight": 1})
+
+
+def test_counting_stops_where_enough_are_near(monkeypatch):
+    monkeypatch.setattr(bl, "PIECE", 10)
+    side, compared = _side(np.ones((1000, 1))), []
+    monkeypatch.setattr(cl, "near", lambda a, b, t: (compared.append(len(a) * len(b)), sm.near(a, b, t))[1])
+    assert (cl._count_near(side, side, 0.5, 5)["near"] >= 5).all() and sum(compared) == 1000 * 10
+    low = cl._lowest_core(side, side.assign(component=np.arange(1000)[::-1]), 0.5)
+    assert (low["component"] == 0).all() and sum(compared) == 2 * 1000 * 10
+
+
+@pytest.mark.parametrize("density", [0.002, 0.01, 0.2])
+def test_links_of_blocks_and_groups_connect_the_same(monkeypatch, density):
+    rng = np.random.default_rng(7)
+    hit, l_ids, r_ids = rng.random((60, 90)) < density, rng.permutation(60), 60 + rng.permutation(90)
+    l_low, r_low = l_ids.copy(), r_ids.copy()
+    for _ in range(200):
+        r_low = np.minimum(r_low, np.where(hit, l_low[:, None], 999).min(axis=0))
+        l_low = np.minimum(l_low, np.where(hit, r_low[None, :], 999).min(axis=1))
+    have = cl._lowest(hit, l_ids, r_ids)
+    assert (have[0] == l_low).all() and (have[1] == r_low).all()
+    rows, cols = np.nonzero(hit)
+    edges = cl._forest(l_ids[rows], r_ids[cols])
+    expected = dict(zip([*l_ids, *r_ids], [*l_low, *r_low], strict=True))
+    assert {k: v for k, v in expected.items() if k != v} == dict(zip(edges["a"], edges["b"], strict=True))
+    points = rng.normal(size=(150, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    whole = cl._local_links(_side(points), _side(points), 0.95)
+    monkeypatch.setattr(bl, "BLOCK", 16)
+    parts = cl._group_links(_side(points), _side(points), 0.95)
+    assert sorted(zip(whole["a"], whole["b"])) == sorted(zip(parts["a"], parts["b"]))
+
+
 @pytest.mark.parametrize("eps, witnesses", [(0.02, 1), (0.1, 1), (0.35, 2)])
 def test_dbscan_with_few_witnesses_is_exact(spark, monkeypatch, eps, witnesses):
     monkeypatch.setattr(bl, "BLOCK", 20)
